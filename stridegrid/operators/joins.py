@@ -276,6 +276,15 @@ def assign_one_to_one(
     def solve(rows: pd.Series, cols: pd.Series, vals: pd.Series) -> pd.Series:
         out = []
         for rr, cc, vv in zip(rows, cols, vals):
+            if len(set(rr)) == len(rr) and len(set(cc)) == len(cc):  # nothing to contest
+                out.append(
+                    [
+                        {row: a.item(), col: b.item(), cost: float(v)}
+                        for a, b, v in zip(rr, cc, vv)
+                        if v < gate
+                    ]
+                )
+                continue
             r_ids, r_at = np.unique(rr, return_inverse=True)
             c_ids, c_at = np.unique(cc, return_inverse=True)
             grid = np.full((len(r_ids), len(c_ids)), 1e6)

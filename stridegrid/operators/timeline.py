@@ -110,13 +110,16 @@ def visible_segments(
         _idx=("sum", F.lit(1)),
     )
     off = F.coalesce("_off", F.lit(0.0))
-    return numbered.select(
-        *on,
-        F.col("_idx").cast("long").alias("index"),
-        "start_sec",
-        "end_sec",
-        off.alias("display_start"),
-        (off + F.col("end_sec") - F.col("start_sec")).alias("display_end"),
+    # read several times by the time remaps
+    return cut(
+        numbered.select(
+            *on,
+            F.col("_idx").cast("long").alias("index"),
+            "start_sec",
+            "end_sec",
+            off.alias("display_start"),
+            (off + F.col("end_sec") - F.col("start_sec")).alias("display_end"),
+        )
     )
 
 
