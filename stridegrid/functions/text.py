@@ -5,19 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stridegrid.functions.numbers import finite, round_half_up
+from stridegrid.functions.numbers import finite, let, round_half_up
 
 
-def _keep_first(words: Column, key) -> Column:
-    """Drop later items with the same key, keeping the order."""
-    keys = F.transform(words, key)
-    return F.filter(words, lambda w, i: F.array_position(keys, key(w)) == i + 1)
+def _unique_ignoring_case(words: Column, most: int) -> Column:
+    """The first ``most`` words that differ ignoring case, each as first written."""
+    keys = F.slice(F.array_distinct(F.transform(words, F.lower)), 1, most)
+    return let(
+        words,
+        lambda ws: F.transform(
+            keys, lambda k: F.get(F.filter(ws, lambda w: F.lower(w) == k), F.lit(0))
+        ),
+    )
 
 
 def split_prompts(text: Column, most: int = 8) -> Column:
     """Prompts split on ``, ; |``, trimmed, unique ignoring case, default person."""
     items = F.transform(F.split(F.coalesce(text, F.lit("")), "[,;|]"), _strip)
-    unique = F.slice(_keep_first(F.filter(items, lambda p: p != ""), F.lower), 1, most)
+    unique = _unique_ignoring_case(F.filter(items, lambda p: p != ""), most)
     return F.when(F.size(unique) == 0, F.array(F.lit("person"))).otherwise(unique)
 
 
@@ -41,7 +46,7 @@ def canonical_prompts(prompts: Column, most: int = 8) -> Column:
         return expr
 
     items = F.transform(F.filter(F.transform(prompts, _strip), lambda p: p != ""), canonical)
-    unique = F.slice(_keep_first(items, F.lower), 1, most)
+    unique = _unique_ignoring_case(items, most)
     return F.when(F.size(unique) == 0, F.array(F.lit("person"))).otherwise(unique)
 
 
@@ -53,16 +58,21 @@ def simplify_chain(prompt: Column) -> Column:
         "that", "who", "having", "and",
     )
     base = F.regexp_replace(_strip(F.coalesce(prompt, F.lit(""))), r"\s+", " ")
-    tokens = F.split(base, " ")
-    cuts = F.filter(
-        F.sequence(F.size(tokens) - 1, F.lit(0), F.lit(-1)),
-        lambda i: (i > 0)
-        & F.regexp_replace(F.lower(F.get(tokens, i)), "^[,.;]+|[,.;]+$", "").isin(*clause_words),
-    )
-    shorter = F.transform(cuts, lambda i: F.array_join(F.slice(tokens, 1, i), " "))
-    chain = F.array_distinct(F.concat(F.array(base), shorter))
-    has_person = F.exists(chain, lambda v: F.lower(v) == "person")
-    chain = F.when(has_person, chain).otherwise(F.concat(chain, F.array(F.lit("person"))))
+
+    def variants(tokens: Column) -> Column:
+        bare = lambda w: F.regexp_replace(F.lower(w), "^[,.;]+|[,.;]+$", "")
+        opens = F.transform(
+            tokens, lambda w, i: F.when((i > 0) & bare(w).isin(*clause_words), i)
+        )
+        cuts = F.reverse(F.filter(opens, lambda i: i.isNotNull()))
+        shorter = F.transform(cuts, lambda i: F.array_join(F.slice(tokens, 1, i), " "))
+        return F.array_distinct(F.concat(F.array(F.array_join(tokens, " ")), shorter))
+
+    def ending_in_person(chain: Column) -> Column:
+        has = F.exists(chain, lambda v: F.lower(v) == "person")
+        return F.when(has, chain).otherwise(F.concat(chain, F.array(F.lit("person"))))
+
+    chain = let(let(F.split(base, " "), variants), ending_in_person)
     return F.when(base == "", F.array(F.lit("person"))).otherwise(chain)
 
 

@@ -18,6 +18,7 @@ def _clusters(events: DataFrame, line: Line, gap: int, order: str) -> DataFrame:
     are independent and folds never see more than one burst.
     """
     by_order = Line(line.keys, order, line.block)
+    events = cut(events)  # event-sized, read again by both scans
     out = running(events, by_order, _before=("prev", F.col(line.pos)))
     starts = F.col("_before").isNull() | (F.col(line.pos) - F.col("_before") >= gap)
     return running(

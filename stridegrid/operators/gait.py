@@ -14,6 +14,7 @@ from stridegrid.operators.joins import toe_off_in_stride
 from stridegrid.operators.recurrences import zero_phase_lowpass
 from stridegrid.plans.blocks import RUNS, Line, neighbourhood
 from stridegrid.plans.quantiles import exact_quantiles
+from stridegrid.plans.session import cut
 
 # Clinical thresholds.
 MIN_STRIDE_S, MAX_STRIDE_S = 0.4, 3.0
@@ -88,6 +89,7 @@ def neutral_offset(df: DataFrame, fps: float, line: Line = RUNS, angles=ANGLES)
             F.array(*[F.struct(F.lit(a).alias("angle"), F.col(a).alias("v")) for a in angles])
         ).alias("s"),
     ).select(*keys, "s.angle", "s.v")
+    long = cut(long)  # stance rows only
     med = exact_quantiles(long, [*keys, "angle"], "v", {"med": 0.5})
     n = long.groupBy(*keys, "angle").agg(F.count("v").alias("n"))
     wide = n.join(med, [*keys, "angle"], "left").groupBy(*keys).agg(

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from stridegrid.functions.boxes import Box, iou, iou_floored, leg_strip, strip_cover
 from stridegrid.functions.numbers import round_half_up
 from stridegrid.functions.vectors import l2norm
-from stridegrid.plans.blocks import DEFAULT_BLOCK_ROWS, RUNS, Line, neighbourhood, running
+from stridegrid.plans.blocks import DEFAULT_BLOCK_ROWS, RUNS, Line, for_python, neighbourhood, running
 from stridegrid.plans.quantiles import exact_quantiles
 
 
@@ -189,6 +189,7 @@ def similarity_join(
         out["similarity"] = sims[rows, picked]
         return out[[f.name for f in schema]]
 
+    v, g = for_python(v, *keys), for_python(g, *keys)
     scored = v.groupBy(*keys).cogroup(g.groupBy(*keys)).applyInPandas(score, schema)
     ranked = scored.groupBy(*by, "vec_id").agg(
         F.sort_array(
@@ -302,6 +303,7 @@ def assign_one_to_one(
     grouped = costs.groupBy(*by).agg(
         F.collect_list(row).alias("_r"), F.collect_list(col).alias("_c"), F.collect_list(cost).alias("_v")
     )
+    grouped = for_python(grouped, *by)
     solved = grouped.select(*by, F.explode(solve("_r", "_c", "_v")).alias("_p"))
     return solved.select(*by, f"_p.{row}", f"_p.{col}", f"_p.{cost}")
 

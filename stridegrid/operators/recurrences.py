@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from stridegrid.functions.numbers import finite, frames_of
 from stridegrid.operators.windows import linear_gap_fill, per_key, smooth_xy
 from stridegrid.plans.blocks import (
-    RUNS, Line, _with_halo, affine_recurrence, neighbourhood, running, stateful_rows,
+    RUNS, Line, _with_halo, affine_recurrence, for_python, neighbourhood, running, stateful_rows,
 )
 
 ORDER = 4
@@ -90,7 +90,7 @@ def zero_phase_lowpass(
         *[F.sum(finite(F.col(c)).cast("int")).alias(f"_k_{c}") for c in columns],
     )
     bridged = linear_gap_fill(counted, line, **{f"_f_{c}": c for c in columns})
-    spread = _with_halo(bridged, line, halo, halo)
+    spread = for_python(_with_halo(bridged, line, halo, halo), *keys, "_blk")
     kept = list(df.columns)
     schema = T.StructType([df.schema[c] for c in kept])
 

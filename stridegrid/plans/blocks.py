@@ -224,7 +224,8 @@ def affine_recurrence(
             result[f"_p_{n}"] = np.cumprod(a)
         return result
 
-    local = cut(base.groupBy(*keys, "_blk").applyInPandas(solve, schema))
+    spread = for_python(base, *keys, "_blk")
+    local = cut(spread.groupBy(*keys, "_blk").applyInPandas(solve, schema))
     ends = local.groupBy(*keys, "_blk").agg(
         *[F.max_by(f"_p_{n}", pos).alias(f"_a_{n}") for n in names],
         *[F.max_by(f"_y_{n}", pos).alias(f"_b_{n}") for n in names],
@@ -249,7 +250,17 @@ Step = Callable[[np.ndarray | None, pd.DataFrame], tuple[pd.DataFrame, np.ndarra
 
 def in_order(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """Co-locate keys and sort each partition so that groups stream in order."""
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return for_python(df, *keys).sortWithinPartitions(*keys, *order)
+
+
+def for_python(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition for Python work.
+
+    The count is given so that adaptive coalescing, which goes by bytes, does
+    not put row-by-row Python work of many groups into one task.
+    """
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(count, *keys)
 
 
 def stateful_rows(
@@ -316,6 +327,7 @@ def stateful_rows(
 
     source = cut(df)
     spread = _with_halo(source, line, warmup, 0)
+    spread = for_python(spread, *keys, "_blk")
     solved = cut(spread.groupBy(*keys, "_blk").applyInPandas(solve, blk_schema))
     by_block = Window.partitionBy(*keys).orderBy("_blk")
     while True:

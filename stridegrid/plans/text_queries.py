@@ -34,15 +34,15 @@ def canonical_prompts(spark, sf):
 _CLAUSE = "'with','holding','carrying','wearing','in','on','near','behind','beside','that','who','having','and'"
 
 
-@query("prompt_variants", "F27", rf"""WITH b AS (SELECT doc_id, regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') AS base FROM documents),
-t AS (SELECT doc_id, base, string_split(base, ' ') AS w FROM b),
-c AS (SELECT doc_id, base, w, list_reverse(list_filter(range(1, len(w)), lambda i: regexp_replace(lower(w[i + 1]), '^[,.;]+|[,.;]+$', '', 'g') IN ({_CLAUSE}))) AS cuts FROM t),
-v AS (SELECT doc_id, base, [base] || list_transform(cuts, lambda i: array_to_string(w[1:i], ' ')) AS vs FROM c)
-SELECT doc_id, CASE WHEN base = '' THEN 1 ELSE len(vs) + CASE WHEN len(list_filter(vs, lambda x: lower(x) = 'person')) > 0 THEN 0 ELSE 1 END END::INT AS variants, CASE WHEN base = '' OR len(list_filter(vs, lambda x: lower(x) = 'person')) = 0 THEN 'person' ELSE vs[-1] END AS last,
- md5(CASE WHEN base = '' THEN 'person' ELSE base END) AS first FROM v""")
+@query("prompt_variants", "F27", rf"""WITH p AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[,;|]')) AS p, unnest(range(len(regexp_split_to_array(text, '[,;|]')))) AS pos FROM documents),
+b AS (SELECT doc_id, pos, regexp_replace(regexp_replace(p, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') AS base FROM p),
+t AS (SELECT doc_id, pos, base, string_split(base, ' ') AS w FROM b),
+c AS (SELECT doc_id, pos, base, w, list_reverse(list_filter(range(1, len(w)), lambda i: regexp_replace(lower(w[i + 1]), '^[,.;]+|[,.;]+$', '', 'g') IN ({_CLAUSE}))) AS cuts FROM t),
+v AS (SELECT doc_id, pos, base, [base] || list_transform(cuts, lambda i: array_to_string(w[1:i], ' ')) AS vs FROM c)
+SELECT doc_id, pos::INT AS pos, CASE WHEN base = '' THEN 'person' ELSE array_to_string(vs, '#') || CASE WHEN len(list_filter(vs, lambda x: lower(x) = 'person')) > 0 THEN '' ELSE '#person' END END AS variants FROM v""")
 def prompt_variants(spark, sf):
-    d = A.prompts(spark, sf).select("doc_id", TX.simplify_chain(F.col("text")).alias("v"))
-    return d.select("doc_id", F.size("v").alias("variants"), F.element_at("v", -1).alias("last"), F.md5(F.element_at("v", 1)).alias("first"))
+    d = A.prompts(spark, sf).select("doc_id", F.posexplode(F.split("text", "[,;|]")).alias("pos", "p"))
+    return d.select("doc_id", "pos", F.array_join(TX.simplify_chain(F.col("p")), "#").alias("variants"))
 
 
 @query("safe_names", "F28", r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), '[^a-zA-Z0-9_-]+', '_', 'g'), '_+', '_', 'g') AS t, text FROM documents)
