@@ -432,11 +432,15 @@ def select_subject_tracks(dets: DataFrame, subjects: DataFrame, width: float, he
     )
 
 
-def sibling_runs(runs: DataFrame) -> DataFrame:
-    """Pairs of runs made from the same track file."""
-    a = runs.select("run_id", "track_file").where(F.col("track_file").isNotNull())
-    b = a.select(F.col("run_id").alias("sibling_id"), "track_file")
-    return a.join(b, "track_file").where("run_id <> sibling_id")
+def sibling_runs(runs: DataFrame, primaries: DataFrame) -> DataFrame:
+    """Other runs made from the track file of each asked run.
+
+    ``primaries``: run_id, track_file of the runs asked for. The output grows
+    with the answers; asking for one run per file keeps it linear in the runs.
+    """
+    asked = primaries.select("run_id", "track_file").where(F.col("track_file").isNotNull())
+    others = runs.select(F.col("run_id").alias("sibling_id"), "track_file")
+    return asked.join(others, "track_file").where("run_id <> sibling_id")
 
 
 def finished_runs(runs: DataFrame, active: DataFrame) -> DataFrame:

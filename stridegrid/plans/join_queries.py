@@ -190,9 +190,11 @@ def _runs(spark, sf):
     )
 
 
-@query("sibling_runs", "J15", f"""WITH {_RUNS} SELECT a.run_id, b.run_id AS sibling_id, a.track_file FROM runs a JOIN runs b USING (track_file) WHERE a.run_id <> b.run_id""")
+@query("sibling_runs", "J15", f"""WITH {_RUNS}, p AS (SELECT min(run_id) AS run_id, track_file FROM runs GROUP BY track_file) SELECT p.run_id, b.run_id AS sibling_id, track_file FROM p JOIN runs b USING (track_file) WHERE p.run_id <> b.run_id""")
 def sibling_runs(spark, sf):
-    return J.sibling_runs(_runs(spark, sf))
+    runs = _runs(spark, sf)
+    primaries = runs.groupBy("track_file").agg(F.min("run_id").alias("run_id"))
+    return J.sibling_runs(runs, primaries)
 
 
 @query("finished_runs", "J21", f"""WITH {_RUNS} SELECT run_id, track_file FROM runs WHERE run_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'O')""")

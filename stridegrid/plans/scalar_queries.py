@@ -238,7 +238,7 @@ def gallery_topk(spark, sf):
     g = label_galleries(e, 8)
     sim = V.gallery_topk(V.l2norm(F.col("embedding")), F.col("gallery"))
     k = F.least(F.size("gallery"), F.lit(5))
-    return e.join(F.broadcast(g), "label").select(
+    return e.join(g, "label").select(
         "vec_id", tidy(sim).alias("top5"), tidy(sim * k).alias("total5")
     )
 
@@ -257,7 +257,7 @@ def gallery_max(spark, sf):
     e = A.embeddings(spark, sf)
     g = label_galleries(e, 8)
     best = V.gallery_max(mag(F.col("embedding")), F.transform("gallery", mag))
-    return e.join(F.broadcast(g), "label").select("vec_id", tidy(best, 5).alias("best"))
+    return e.join(g, "label").select("vec_id", tidy(best, 5).alias("best"))
 
 
 @query("scene_change", "F12", f"""WITH {_PREV},
