@@ -360,9 +360,14 @@ def lowest_joint(joints: Column, ids: tuple[int, ...] | None = None) -> Column:
     return F.when(F.size(joints) >= 15, low)
 
 
-def joint_centroid(joints: Column, ids: tuple[int, ...] = (5, 6, 9, 10, 11, 12, 13, 14)) -> Vec:
-    """Mean of the named joints, or of all joints where none is usable."""
-    return mean_of([joint_world(joints, j) for j in ids]).or_else(centre_of_mass(joints))
+def with_centroid(df, ids: tuple[int, ...] = (5, 6, 9, 10, 11, 12, 13, 14), joints: str = "joints"):
+    """Add ``centroid``: mean of the named joints, or of all where none is usable."""
+    df = with_points(df, ids, joints)
+    df = df.withColumns(
+        {**mean_of([point(j) for j in ids]).named("_m"), **centre_of_mass(F.col(joints)).named("_c")}
+    )
+    df = df.withColumns(Vec.cols("_m").or_else(Vec.cols("_c")).named("centroid"))
+    return _drop_points(df, ids, "_m", "_c")
 
 
 def lerp_joints(a: Column, b: Column, t: Column) -> Column:

@@ -506,11 +506,11 @@ SELECT run_id, frame_index, {r('least(' + ', '.join(joint(j, 'z') for j in P.FEE
  {r(f'{joint(11, "z")} - {joint(12, "z")}')} AS knee_asymmetry FROM pose""")
 def joint_sets(spark, sf):
     j = F.col("joints")
-    return A.pose(spark, sf).select(
+    return P.with_centroid(A.pose(spark, sf)).select(
         *RUN,
         tidy(P.lowest_joint(j, P.FEET)).alias("lowest_foot"),
         tidy(P.lowest_joint(j)).alias("lowest_body"),
-        tidy(P.joint_centroid(j).x).alias("centroid_x"),
+        tidy(F.col("centroid_x")).alias("centroid_x"),
         tidy(P.centre_of_mass(j).y).alias("com_y"),
         tidy(_j(11, False).z - _j(12, False).z).alias("knee_asymmetry"),
     )
