@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stridegrid.llm.decontaminate import decontaminate, judged
+from stridegrid.llm.html_text import extract_text
+from stridegrid.llm.topk import exact_topk
+from stridegrid.llm.url_filter import filter_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,5 +56,99 @@ FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
-QUERIES = {"op9_decontaminate": op9_decontaminate}
-ORACLES = {"op9_decontaminate": OP9_SQL}
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows by integer inner product of every twentieth vector."""
+    return exact_topk(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v AS q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id AND len(q.e) = len(v.e)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+#: (verdict, host and path) of the url query.
+URL_RULES = [
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Allow or block every page url, with decisions carried to aliases."""
+    found = filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+def _node_sql(url: str) -> str:
+    return f"""CASE WHEN regexp_extract({url}, '://([^/?#]*)', 1) <> '' THEN
+      translate(regexp_extract({url}, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+      || CASE WHEN regexp_extract({url}, '://[^/?#]*([^?#]*)', 1) = '' THEN '/'
+              ELSE regexp_extract({url}, '://[^/?#]*([^?#]*)', 1) END
+      || regexp_extract({url}, '://[^?#]*(\\?[^#]*)', 1) END"""
+
+
+_RULES_SQL = ", ".join(f"('{v}', '{r}')" for v, r in URL_RULES)
+OP5_SQL = f"""
+WITH RECURSIVE rules(verdict, rule) AS (VALUES {_RULES_SQL}),
+page AS (
+  SELECT row_number() OVER () AS n, page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
+    translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+target AS (
+  SELECT url, host, path, unnest([
+    regexp_extract(regexp_extract(html, '(?is)(<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>)', 1),
+      '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1),
+    regexp_extract(regexp_extract(html, '(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>)', 1),
+      '(?is)\burl\s*=\s*["'']?\s*([^"''\s>;]+)', 1)]) AS t FROM page),
+full_target AS (
+  SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t
+    WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN 'http://' || host || t
+    WHEN starts_with(t, '#') OR starts_with(t, '?') THEN 'http://' || host || path || t
+    ELSE 'http://' || host || CASE WHEN regexp_replace(path, '[^/]*$', '') = '' THEN '/'
+      ELSE regexp_replace(path, '[^/]*$', '') END || t END AS t
+  FROM (SELECT url, host, path, replace(t, '&amp;', '&') AS t FROM target) WHERE t <> ''),
+edge AS (
+  SELECT {_node_sql("url")} AS a, {_node_sql("t")} AS b FROM full_target),
+sym AS (SELECT a, b FROM edge WHERE a <> b UNION SELECT b, a FROM edge WHERE a <> b),
+reach(node, other) AS (SELECT a, b FROM sym UNION SELECT r.node, s.b FROM reach r JOIN sym s ON r.other = s.a),
+other_rule AS (
+  SELECT node, arg_max(verdict, length(rule)) AS verdict
+  FROM (SELECT DISTINCT other AS node, split_part(other, '/', 1) AS host,
+          regexp_extract('x://' || other, '://[^/?#]*([^?#]*)', 1) AS path FROM reach), rules
+  WHERE ('.' || host) LIKE ('%.' || split_part(rule, '/', 1)) AND starts_with(path, substr(rule, strpos(rule, '/')))
+  GROUP BY node),
+said AS (
+  SELECT r.node, CASE WHEN bool_or(o.verdict = 'allow') THEN 'allow' WHEN bool_or(o.verdict = 'block') THEN 'block' END AS said
+  FROM reach r JOIN other_rule o ON r.other = o.node GROUP BY r.node),
+own AS (
+  SELECT n, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM page, rules
+  WHERE ('.' || host) LIKE ('%.' || split_part(rule, '/', 1)) AND starts_with(path, substr(rule, strpos(rule, '/')))
+  GROUP BY n)
+SELECT page_id, host, path, rule, coalesce(own.verdict, said.said, 'allow') AS verdict
+FROM (SELECT *, {_node_sql("url")} AS node FROM page) LEFT JOIN own USING (n) LEFT JOIN said USING (node)
+"""
+
+QUERIES = {
+    "op3_html_text": op3_html_text,
+    "op4_exact_topk": op4_exact_topk,
+    "op5_url_filter": op5_url_filter,
+    "op9_decontaminate": op9_decontaminate,
+}
+ORACLES = {"op4_exact_topk": OP4_SQL, "op5_url_filter": OP5_SQL, "op9_decontaminate": OP9_SQL}
