@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stridegrid.llm.common import held_out
 from stridegrid.llm.decontaminate import decontaminate, judged
 from stridegrid.llm.html_text import extract_text
+from stridegrid.llm.language import fit_language, predict_language
+from stridegrid.llm.quality import fit_quality, score_quality
 from stridegrid.llm.topk import exact_topk
+from stridegrid.llm.toxicity import fit_toxicity, score_toxicity
 from stridegrid.llm.url_filter import filter_urls
 
 
@@ -15,6 +19,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two of three folds."""
+    docs = _table(spark, sf_dir, "documents")
+    found = predict_language(docs, fit_language(docs, ~held_out("doc_id", 3, 1)))
+    return found.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages of 13 words."""
     found = judged(decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
@@ -56,6 +67,20 @@ FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from three of four folds of the labels."""
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_quality(docs, _table(spark, sf_dir, "labels"), ~held_out("doc_id", 4, 2))
+    found = score_quality(docs, model)
+    return found.select(
+        "doc_id",
+        held_out("doc_id", 4, 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        "focus",
+    )
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return extract_text(_table(spark, sf_dir, "pages"))
@@ -95,6 +120,16 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of every document, learned from three of four folds of the labels."""
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, _table(spark, sf_dir, "labels"), ~held_out("doc_id", 4, 2))
+    found = score_toxicity(docs, model)
+    return found.select(
+        "doc_id", held_out("doc_id", 4, 2).alias("held_out"), "severity", "grade", "p_toxic", "toxic"
+    )
+
+
 def _node_sql(url: str) -> str:
     return f"""CASE WHEN regexp_extract({url}, '://([^/?#]*)', 1) <> '' THEN
       translate(regexp_extract({url}, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
@@ -146,9 +181,12 @@ FROM (SELECT *, {_node_sql("url")} AS node FROM page) LEFT JOIN own USING (n) LE
 """
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op3_html_text": op3_html_text,
     "op4_exact_topk": op4_exact_topk,
     "op5_url_filter": op5_url_filter,
+    "op8_language": op8_language,
     "op9_decontaminate": op9_decontaminate,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES = {"op4_exact_topk": OP4_SQL, "op5_url_filter": OP5_SQL, "op9_decontaminate": OP9_SQL}

@@ -50,17 +50,16 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column
     return F.array_max(F.filter(held, lambda r: dotted.endswith(r["domain"]) & path.startswith(r["start"])))
 
 
-def _resolved(target: Column, url: Column) -> Column:
-    """An absolute form of a link target found on the page at ``url``."""
-    origin = F.concat(F.lit("http://"), host_of(url))
-    folder = F.regexp_replace(path_of(url), r"[^/]*$", "")
+def _resolved(target: Column, host: Column, path: Column) -> Column:
+    """An absolute form of a link target found on the page with this host and path."""
+    origin = F.concat(F.lit("http://"), host)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path, r"^/(.*/)?[^/]*$", 1))
     return (
-        F.when(target == "", None)
-        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
         .when(target.startswith("//"), F.concat(F.lit("http:"), target))
         .when(target.startswith("/"), F.concat(origin, target))
-        .when(target.startswith("#") | target.startswith("?"), F.concat(origin, path_of(url), target))
-        .otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), target))
+        .when(target.startswith("#") | target.startswith("?"), F.concat(origin, path, target))
+        .otherwise(F.concat(origin, folder, target))
     )
 
 
@@ -71,8 +70,14 @@ def alias_edges(pages: DataFrame, *, url: str = "url", html: str = "html") -> Da
     meta = F.regexp_extract(F.col(html), r"""(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>)""", 1)
     jump = F.regexp_extract(meta, r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>;]+)""", 1)
     found = pages.select(F.col(url).alias("u"), F.explode(F.array(href, jump)).alias("t")).where("t != ''")
-    target = F.regexp_replace("t", "&amp;", "&")
-    return found.select(node_of(F.col("u")).alias("a"), node_of(_resolved(target, F.col("u"))).alias("b"))
+    found = found.select(
+        host_of(F.col("u")).alias("h"),
+        path_of(F.col("u")).alias("p"),
+        node_of(F.col("u")).alias("a"),
+        F.regexp_replace("t", "&amp;", "&").alias("t"),
+    )
+    found = found.select("a", _resolved(F.col("t"), F.col("h"), F.col("p")).alias("t"))
+    return found.select("a", node_of(F.col("t")).alias("b"))
 
 
 def filter_urls(
