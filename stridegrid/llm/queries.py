@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from stridegrid.llm.common import held_out
 from stridegrid.llm.decontaminate import decontaminate, judged
 from stridegrid.llm.html_text import extract_text
 from stridegrid.llm.language import fit_language, predict_language
+from stridegrid.llm.packing import pack
 from stridegrid.llm.quality import fit_quality, score_quality
 from stridegrid.llm.topk import exact_topk
 from stridegrid.llm.toxicity import fit_toxicity, score_toxicity
@@ -81,6 +83,18 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The tokenizer file of the packing query.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 4096 tokens, sources mixed by their shares."""
+    found = pack(_table(spark, sf_dir, "documents"), TOKENIZER)
+    return found.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return extract_text(_table(spark, sf_dir, "pages"))
@@ -139,7 +153,7 @@ def _node_sql(url: str) -> str:
 
 
 _RULES_SQL = ", ".join(f"('{v}', '{r}')" for v, r in URL_RULES)
-OP5_SQL = f"""
+OP5_SQL = rf"""
 WITH RECURSIVE rules(verdict, rule) AS (VALUES {_RULES_SQL}),
 page AS (
   SELECT row_number() OVER () AS n, page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
@@ -182,6 +196,7 @@ FROM (SELECT *, {_node_sql("url")} AS node FROM page) LEFT JOIN own USING (n) LE
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_packing": op2_packing,
     "op3_html_text": op3_html_text,
     "op4_exact_topk": op4_exact_topk,
     "op5_url_filter": op5_url_filter,
