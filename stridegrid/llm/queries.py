@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from stridegrid.llm.common import held_out
 from stridegrid.llm.decontaminate import decontaminate, judged
 from stridegrid.llm.html_text import extract_text
+from stridegrid.llm.jaccard_join import jaccard_components
 from stridegrid.llm.language import fit_language, predict_language
 from stridegrid.llm.packing import pack
 from stridegrid.llm.quality import fit_quality, score_quality
@@ -21,6 +22,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingle sets are 75 percent alike."""
+    return jaccard_components(_table(spark, sf_dir, "documents"), words=5, percent=75)
+
+
+OP6_SQL = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+gram AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM doc WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM gram x JOIN gram y ON x.g = y.g AND x.doc_id <> y.doc_id
+  GROUP BY ALL),
+link AS (SELECT a, b FROM shared JOIN size x ON a = x.doc_id JOIN size y ON b = y.doc_id
+  WHERE 100 * k >= 75 * (x.n + y.n - k)),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id
+FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN least ON a = doc_id
+"""
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from two of three folds."""
     docs = _table(spark, sf_dir, "documents")
@@ -200,8 +225,14 @@ QUERIES = {
     "op3_html_text": op3_html_text,
     "op4_exact_topk": op4_exact_topk,
     "op5_url_filter": op5_url_filter,
+    "op6_jaccard_join": op6_jaccard_join,
     "op8_language": op8_language,
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES = {"op4_exact_topk": OP4_SQL, "op5_url_filter": OP5_SQL, "op9_decontaminate": OP9_SQL}
+ORACLES = {
+    "op4_exact_topk": OP4_SQL,
+    "op5_url_filter": OP5_SQL,
+    "op6_jaccard_join": OP6_SQL,
+    "op9_decontaminate": OP9_SQL,
+}
