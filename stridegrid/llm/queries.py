@@ -13,6 +13,7 @@ from stridegrid.llm.jaccard_join import jaccard_components
 from stridegrid.llm.language import fit_language, predict_language
 from stridegrid.llm.packing import pack
 from stridegrid.llm.quality import fit_quality, score_quality
+from stridegrid.llm.suffix_repeats import remove_repeats
 from stridegrid.llm.topk import exact_topk
 from stridegrid.llm.toxicity import fit_toxicity, score_toxicity
 from stridegrid.llm.url_filter import filter_urls
@@ -46,6 +47,18 @@ FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN least ON a = doc_id
 """
 
 
+def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the strings of 200 bytes that start more than once."""
+    found = remove_repeats(_table(spark, sf_dir, "documents"), length=200)
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from two of three folds."""
     docs = _table(spark, sf_dir, "documents")
@@ -226,6 +239,7 @@ QUERIES = {
     "op4_exact_topk": op4_exact_topk,
     "op5_url_filter": op5_url_filter,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_suffix_repeats": op7_suffix_repeats,
     "op8_language": op8_language,
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
