@@ -356,12 +356,9 @@ def repeats(texts: DataFrame, *, length: int = 200, most_contexts: int = MOST_CO
                     del current[:-1]
                     large = True
             yield out(direct, overflow)
-        if large:
-            yield out([], current)
-        else:
-            if len(current) > 1:
-                held.extend(current)
-            yield out(solved(), [])
+        if not large and len(current) > 1:
+            held.extend(current)
+        yield out(solved(), current if large else [])
 
     found = _contexts(texts, _repeated_anchors(texts, length), length)
     order = found.repartition("route").sortWithinPartitions("hash", "after", "before", "tid", "pos")
