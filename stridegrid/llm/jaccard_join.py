@@ -194,7 +194,11 @@ def _levels(rows: DataFrame, fan_in: int = 256) -> tuple[np.ndarray, float, floa
 
 
 def _prefix_rows(docs: DataFrame, levels: Broadcast, hot_level: int, words: int, percent: int) -> DataFrame:
-    """(token, sid, meta) for the prefix of every set, once per task; meta is twice the set size, plus 1 if hot."""
+    """(token, sid, meta) for the prefix of every set, once per task.
+
+    ``meta`` packs the set size, the place of the token and whether it is hot,
+    so that it sorts by size.
+    """
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = levels.value
@@ -212,14 +216,15 @@ def _prefix_rows(docs: DataFrame, levels: Broadcast, hot_level: int, words: int,
                 sizes.append(len(found))
             if not tokens:
                 continue
-            each = [len(x) for x in tokens]
+            each = np.array([len(x) for x in tokens])
             token = np.concatenate(tokens)
+            place = np.arange(len(token)) - np.repeat(np.cumsum(each) - each, each)
             hot = order[_bucket(token)] >= hot_level
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(token.view(np.int64)),
                     pa.array(np.repeat(np.array(sids, np.int64), each)),
-                    pa.array(np.repeat(np.array(sizes, np.int64), each) * 2 + hot),
+                    pa.array((np.repeat(np.array(sizes, np.int64), each) << 32) | (place << 1) | hot),
                 ],
                 names=["token", "sid", "meta"],
             )
@@ -228,48 +233,51 @@ def _prefix_rows(docs: DataFrame, levels: Broadcast, hot_level: int, words: int,
 
 
 def _runs(prefix: DataFrame, percent: int) -> DataFrame:
-    """(token, sid, n, lead): sets that share a prefix token with another set.
+    """(token, sid, n, lead): sets that may link with another set of the same prefix token.
 
     Sets of a token stand in order of size; a run ends where the next set is
-    too large for any set before it, and ``lead`` is its first set. Tokens of a
-    very high count are dealt to several tasks, each with leads of its own.
+    too large for any set before it, and ``lead`` is its first set. If a link's
+    first common token is this one, what follows it in both sets must hold the
+    needed overlap: a set of size n with r elements from the token on can link
+    with sizes up to ``cap`` = r * (100 + percent) / percent - n, and with a
+    smaller set only if that set's cap reaches n. Other sets are left out of the
+    run. Tokens of a very high count are dealt to several tasks, each with leads
+    of its own, and keep all their sets.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # token, sid, size, lead, hot, and whether the row was given out
+        none = np.zeros(0, np.int64)
+        carry = (none, none, none, none, none)  # the last row, its lead and the largest cap before it
+
+        def out(*columns: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["token", "sid", "n", "lead"])
+
         for batch in batches:
-            if not batch.num_rows:
+            rows = (batch.column(x).to_numpy() for x in ("token", "sid", "meta"))
+            token, sid, meta = (np.concatenate(x) for x in zip(carry[:3], rows, strict=True))
+            if not len(token):
                 continue
-            token, sid, meta = (batch.column(x).to_numpy() for x in ("token", "sid", "meta"))
-            carried = last is not None
-            if carried:
-                token, sid, meta = (np.concatenate(([x], y)) for x, y in zip(last[:3], (token, sid, meta), strict=True))
-            n, hot = meta >> 1, (meta & 1).astype(bool)
-            same = (token[1:] == token[:-1]) & (sid[1:] == sid[:-1])
+            fresh = np.concatenate(([True], (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])))
+            token, sid, meta = token[fresh], sid[fresh], meta[fresh]
+            n, place, hot = meta >> 32, (meta >> 1) & 0x7FFFFFFF, (meta & 1).astype(bool)
+            cap = (n - place) * (100 + percent) // percent - n
             start = np.concatenate(([True], (token[1:] != token[:-1]) | (~hot[1:] & (percent * n[1:] > 100 * n[:-1]))))
-            if carried and not same.size:
-                continue
             group = np.cumsum(start) - 1
-            first = np.flatnonzero(start)
-            lead = sid[first][group]
-            if carried:
-                lead[group == 0] = last[3]
-            fresh = np.concatenate(([True], ~same))
-            distinct = np.bincount(group, weights=fresh) > 1
-            if carried and last[4]:
-                distinct[0] = True  # the run went on from rows given out before
-            keep = fresh & (distinct[group] | hot)
-            tail = group == group[-1]
-            if carried and last[4]:
-                keep[0] = False
-            given = bool(keep[-1]) or (not fresh[-1] and bool((keep & tail).any())) or (
-                carried and last[4] and bool(group[-1] == 0)
-            )
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(token[keep]), pa.array(sid[keep]), pa.array(n[keep]), pa.array(lead[keep])],
-                names=["token", "sid", "n", "lead"],
-            )
-            last = (token[-1], sid[-1], meta[-1], lead[-1], given)
+            lead = sid[np.flatnonzero(start)][group]
+            wide = np.int64(1) << 33  # caps lie in (-wide / 2, wide / 2): one running maximum serves all runs
+            most = np.maximum.accumulate(cap + group * wide) - group * wide
+            before = np.where(start, -wide, np.concatenate(([0], most[:-1])))
+            if len(carry[0]):
+                lead[group == 0] = carry[3][0]
+                before[group == 0] = np.maximum(before[group == 0], carry[4][0])
+            after = np.concatenate((~start[1:] & (n[1:] <= cap[:-1]), [False]))
+            keep = (before >= n) | after | hot
+            carry = tuple(x[-1:] for x in (token, sid, meta, lead, before))
+            keep[-1] = False
+            yield out(token[keep], sid[keep], n[keep], lead[keep])
+        token, sid, meta, lead, before = carry
+        keep = (before >= meta >> 32) | (meta & 1).astype(bool)
+        yield out(token[keep], sid[keep], meta[keep] >> 32, lead[keep])
 
     salt = F.when(F.col("meta") % 2 == 1, F.pmod("sid", F.lit(SALTS))).otherwise(F.lit(0))
     rows = prefix.repartition(F.col("token"), salt).sortWithinPartitions("token", "meta", "sid")
@@ -408,12 +416,19 @@ def _tiles(rows: DataFrame, levels: Broadcast, percent: int) -> DataFrame:
     return rows.mapInArrow(join, "a bigint, b bigint")
 
 
-def _blocks(runs: DataFrame) -> DataFrame:
-    """(sid, block): sets dealt to blocks of bounded size by the least lead near them."""
-    home = runs.groupBy("sid").agg(F.min("lead").alias("home"), F.max("n").alias("n"))
-    met = runs.select("token", "sid").join(home.select("sid", "home"), "sid")
-    least = met.groupBy("token").agg(F.min("home").alias("least"))
-    home = met.join(least, "token").groupBy("sid").agg(F.min("least").alias("home")).join(home.select("sid", "n"), "sid")
+def _blocks(runs: DataFrame, rounds: int = 4) -> DataFrame:
+    """(sid, block): sets dealt to blocks of bounded size by the least lead that reaches them.
+
+    Leads pass over the distinct (lead, sid) edges for a few rounds, so that
+    sets that meet in many runs mostly share a block; where they do not, their
+    blocks meet in a tile.
+    """
+    edges = staged(runs.groupBy("lead", "sid").agg(F.max("n").alias("n")), "run-edges")
+    home = edges.groupBy("sid").agg(F.min("lead").alias("home"), F.max("n").alias("n"))
+    for _ in range(rounds):
+        least = edges.join(home.select("sid", "home"), "sid").groupBy("lead").agg(F.min("home").alias("least"))
+        home = edges.join(least, "lead").groupBy("sid").agg(F.min("least").alias("home"), F.max("n").alias("n"))
+    home = staged(home, "homes")
     weight = home.groupBy("home").agg(
         F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).alias("parts")
     )
@@ -465,7 +480,8 @@ def similar_links(docs: DataFrame, sets: DataFrame, *, words: int = 5, percent:
             )
 
     elements = texts.select("sid", "_text").mapInArrow(ordered, "sid bigint, elements binary")
-    return _tiles(first.union(second).join(elements, "sid"), levels, percent)
+    places = staged(first.union(second), "places")
+    return _tiles(elements.join(small(places), "sid").select("ta", "tb", "side", "sid", "elements"), levels, percent)
 
 
 def jaccard_components(
