@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from stridegrid.operators.locks import OUT, advance_rows
-from stridegrid.operators.tracking import Detections
-from stridegrid.streaming.identity import TrackBook
+from stridegrid.operators.locks import OUT, advance_rows, lock_evidence
+from stridegrid.operators.tracking import track_ids
+from stridegrid.streaming.identity import TrackTable
 
 
 class _Kept(StatefulProcessor):
@@ -49,11 +49,9 @@ class _Kept(StatefulProcessor):
 class TrackProcessor(_Kept):
     order = ["frame", "det_id"]
 
-    def feed(self, book: TrackBook | None, pdf: pd.DataFrame):
-        book = book or TrackBook()
-        out = pdf[["video_id", "frame", "det_id"]].copy()
-        out["track_id"] = Detections(pdf).feed(book)
-        return book, out
+    def feed(self, book: TrackTable | None, pdf: pd.DataFrame):
+        book = TrackTable() if book is None else book
+        return book, pdf[["video_id", "frame", "det_id"]].assign(track_id=track_ids(book, pdf))
 
 
 class LockProcessor(_Kept):
@@ -84,7 +82,7 @@ def lock_stream(frames: DataFrame, width: float, height: float) -> DataFrame:
     schema = T.StructType(
         [T.StructField("run_id", T.LongType()), T.StructField("frame_index", T.LongType()), *OUT.fields]
     )
-    return frames.groupBy("run_id").transformWithStateInPandas(
+    return lock_evidence(frames, width, height).groupBy("run_id").transformWithStateInPandas(
         LockProcessor(width, height), outputStructType=schema, outputMode="append", timeMode="none"
     )
 
