@@ -87,13 +87,17 @@ def hist_similarity(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.aggregate(pairs, start, add, score))
 
 
-def gallery_topk(vec: Column, gallery: Column, k: int = 5) -> Column:
-    """Mean of the ``k`` best dot products against a gallery; 0 when empty."""
-    best = let(
+def gallery_best(vec: Column, gallery: Column, k: int = 5) -> Column:
+    """The ``k`` best dot products against a gallery, best first."""
+    return let(
         vec,
         lambda v: F.slice(F.sort_array(F.transform(gallery, lambda g: dot(g, v)), False), 1, k),
     )
-    mean = let(best, lambda s: total(s) / F.size(s))
+
+
+def gallery_topk(vec: Column, gallery: Column, k: int = 5) -> Column:
+    """Mean of the ``k`` best dot products against a gallery; 0 when empty."""
+    mean = let(gallery_best(vec, gallery, k), lambda s: total(s) / F.size(s))
     return F.when(F.coalesce(F.size(gallery), F.lit(0)) > 0, mean).otherwise(0.0)
 
 

@@ -15,25 +15,18 @@ from stridegrid.plans.blocks import DEFAULT_BLOCK_ROWS, RUNS, Line, for_python,
 from stridegrid.plans.quantiles import exact_quantiles
 
 
-def label_galleries(vectors: DataFrame, size: int = 8) -> DataFrame:
-    """The first ``size`` unit vectors per label, by id.
+def label_galleries(vectors: DataFrame, views: int = 256) -> DataFrame:
+    """(label, part, gallery): all unit vectors of each label, in parts of about ``views``.
 
-    Each part of the id range contributes at most ``size`` vectors, so no task
-    holds a whole label and the result is bounded by labels times ``size``.
+    A label of any size is cut by a hash of the vector id, so no task or array
+    holds a whole label; what is taken from a gallery (best cosines, largest
+    similarity) is taken from each part and merged.
     """
-    part = F.floor(F.xxhash64("vec_id") % 64)
-    local = Window.partitionBy("label", "_part").orderBy("vec_id")
-    final = Window.partitionBy("label").orderBy("vec_id")
-    few = (
-        vectors.withColumn("_part", part)
-        .withColumn("_n", F.row_number().over(local))
-        .where(F.col("_n") <= size)
-        .withColumn("_n", F.row_number().over(final))
-        .where(F.col("_n") <= size)
-    )
-    return few.groupBy("label").agg(
+    sizes = vectors.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / views).alias("_parts"))
+    dealt = vectors.join(sizes, "label").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("_parts")))
+    return dealt.groupBy("label", "part").agg(
         F.transform(
-            F.sort_array(F.collect_list(F.struct("_n", "embedding"))),
+            F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))),
             lambda s: l2norm(s["embedding"]),
         ).alias("gallery")
     )
@@ -147,15 +140,16 @@ def similarity_join(
     """Best and second-best track of every vector by mean of the top ``k`` cosines.
 
     ``vectors``: (by..., vec_id, embedding); ``galleries``: (by..., track_id,
-    gallery). Vectors are cut into parts and tracks into tiles; a task multiplies
-    one part with one tile and keeps its two best tracks, so no pair list exists.
+    gallery), a track in one row or several. Vectors are cut into parts and
+    gallery rows into tiles; a task multiplies one part with one tile and keeps
+    the best ``k`` cosines of each track, which are merged over the tiles.
     """
     by = by or []
     v = vectors.select(*by, "vec_id", "embedding").withColumn(
         "_part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
     ).withColumn("_tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
     g = galleries.select(*by, "track_id", "gallery").withColumn(
-        "_tile", F.pmod(F.xxhash64("track_id"), F.lit(tiles)).cast("int")
+        "_tile", F.pmod(F.xxhash64("track_id", "gallery"), F.lit(tiles)).cast("int")
     ).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     keys = [*by, "_part", "_tile"]
     schema = T.StructType(
@@ -163,7 +157,7 @@ def similarity_join(
             *[vectors.schema[c] for c in by],
             vectors.schema["vec_id"],
             T.StructField("track_id", galleries.schema["track_id"].dataType),
-            T.StructField("similarity", T.DoubleType()),
+            T.StructField("top", T.ArrayType(T.DoubleType())),
         ]
     )
 
@@ -175,22 +169,23 @@ def similarity_join(
         if left.empty or right.empty:
             return pd.DataFrame({f.name: [] for f in schema})
         q = unit(np.asarray(left["embedding"].tolist(), dtype=float))
-        right = right.sort_values("track_id")
-        sims = np.empty((len(q), len(right)))
-        for j, gal in enumerate(right["gallery"]):
-            s = q @ unit(np.asarray(list(gal), dtype=float)).T
-            top = min(k, s.shape[1])
-            sims[:, j] = np.sort(s, axis=1)[:, -top:].mean(axis=1)
-        two = np.argsort(-sims, axis=1, kind="stable")[:, :2]
-        rows = np.repeat(np.arange(len(q)), two.shape[1])
-        picked = two.ravel()
-        out = left.iloc[rows][[*by, "vec_id"]].reset_index(drop=True)
-        out["track_id"] = right["track_id"].to_numpy()[picked]
-        out["similarity"] = sims[rows, picked]
-        return out[[f.name for f in schema]]
+        grid = {}
+        for track, gallery in zip(right["track_id"], right["gallery"]):
+            grid.setdefault(track, []).append(q @ unit(np.asarray(list(gallery), dtype=float)).T)
+        parts = []
+        for track, blocks in grid.items():
+            best = np.sort(np.hstack(blocks), axis=1)[:, -k:]
+            part = left[[*by, "vec_id"]].reset_index(drop=True)
+            part["track_id"], part["top"] = track, list(best)
+            parts.append(part)
+        return pd.concat(parts, ignore_index=True)[[f.name for f in schema]]
 
     v, g = for_python(v, *keys), for_python(g, *keys)
     scored = v.groupBy(*keys).cogroup(g.groupBy(*keys)).applyInPandas(score, schema)
+    best = F.slice(F.sort_array(F.flatten(F.collect_list("top")), False), 1, k)
+    scored = scored.groupBy(*by, "vec_id", "track_id").agg(best.alias("_best"))
+    mean = F.aggregate("_best", F.lit(0.0), lambda a, x: a + x) / F.size("_best")
+    scored = scored.withColumn("similarity", mean)
     ranked = scored.groupBy(*by, "vec_id").agg(
         F.sort_array(
             F.collect_list(F.struct((-F.col("similarity")).alias("s"), "track_id"))
@@ -317,19 +312,22 @@ def interval_join(
 ) -> DataFrame:
     """Points with the ranges ``[start_sec, end_sec)`` that contain them.
 
-    Ranges are cut at bucket borders so that the join is an equi-join on the
-    bucket; a point lies in one bucket, so no pair comes twice.
+    A range without end is open and reaches to the last point of its key. Ranges
+    are cut at bucket borders so that the join is an equi-join on the bucket; a
+    point lies in one bucket, so no pair comes twice.
     """
-    cut_ranges = ranges.where("end_sec > start_sec").withColumn(
+    last = points.groupBy(*on).agg((F.max(at) + bucket).alias("_last"))
+    closed = ranges.join(last, list(on), "left").withColumn("_end", F.coalesce("end_sec", "_last")).drop("_last")
+    cut_ranges = closed.where(F.col("_end") > F.col("start_sec")).withColumn(
         "_bkt",
-        F.explode(F.sequence(F.floor(F.col("start_sec") / bucket), F.floor(F.col("end_sec") / bucket))),
+        F.explode(F.sequence(F.floor(F.col("start_sec") / bucket), F.floor(F.col("_end") / bucket))),
     )
     keyed = points.withColumn("_bkt", F.floor(F.col(at) / bucket))
     p, q = keyed.alias("p"), cut_ranges.alias("q")
     cond = F.lit(True)
     for k in [*on, "_bkt"]:
         cond = cond & (F.col(f"p.{k}") == F.col(f"q.{k}"))
-    cond = cond & (F.col(f"p.{at}") >= F.col("q.start_sec")) & (F.col(f"p.{at}") < F.col("q.end_sec"))
+    cond = cond & (F.col(f"p.{at}") >= F.col("q.start_sec")) & (F.col(f"p.{at}") < F.col("q._end"))
     joined = p.join(q, cond, how)
     if how in ("left_semi", "left_anti"):
         return joined.drop("_bkt")

@@ -84,7 +84,7 @@ def _costs(spark, sf):
 
 
 @query("similarity_join", "J5", f"""WITH g AS (SELECT label, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings),
-u AS (SELECT label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM g WHERE k <= 8),
+u AS (SELECT label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM g),
 s AS (SELECT e.vec_id, u.label, list_cosine_similarity(u.v, e.embedding::DOUBLE[]) AS sim FROM embeddings e, u),
 k AS (SELECT *, row_number() OVER (PARTITION BY vec_id, label ORDER BY sim DESC) AS rk FROM s),
 m AS (SELECT vec_id, label, avg(sim) AS sim FROM k WHERE rk <= 5 GROUP BY ALL),
@@ -93,7 +93,7 @@ SELECT vec_id, label::BIGINT AS track_id, {r('sim')} AS similarity, {r('sim - se
  CASE WHEN sim >= 0.84 THEN 'strict' WHEN sim >= 0.76 AND sim - second >= 0.03 THEN 'recent' WHEN sim >= 0.60 AND sim - second >= 0.03 THEN 'floor' END AS level FROM o WHERE rk = 1""")
 def similarity_join(spark, sf):
     e = A.embeddings(spark, sf)
-    g = J.label_galleries(e, 8).withColumnRenamed("label", "track_id")
+    g = J.label_galleries(e, 64).withColumnRenamed("label", "track_id")
     out = J.similarity_join(e, g, tiles=2, parts=8)
     return out.select(
         "vec_id", "track_id", tidy(F.col("similarity")).alias("similarity"),

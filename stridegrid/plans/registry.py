@@ -56,7 +56,7 @@ STATUS = """status AS (
          event_type = 'click' AS ambiguous,
          event_id % 7 < 4 AS "left", event_id % 5 < 3 AS "right", value AS score
   FROM events)"""
-BOXES = """boxes AS (
+BOXES = """boxes AS MATERIALIZED (
   SELECT l_suppkey AS video_id, l_orderkey % 200 AS frame,
          row_number() OVER (PARTITION BY l_suppkey, l_orderkey % 200 ORDER BY l_orderkey,
            l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS det_id,

@@ -223,7 +223,7 @@ def histogram_similarity(spark, sf):
 
 
 _GALLERY = """g AS (SELECT label, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings),
-u AS (SELECT label, k, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM g WHERE k <= 8)"""
+u AS (SELECT label, k, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM g)"""
 
 
 @query("gallery_topk", "F10,O6", f"""WITH {_GALLERY},
@@ -235,12 +235,13 @@ def gallery_topk(spark, sf):
     from stridegrid.operators.joins import label_galleries
 
     e = A.embeddings(spark, sf)
-    g = label_galleries(e, 8)
-    sim = V.gallery_topk(V.l2norm(F.col("embedding")), F.col("gallery"))
-    k = F.least(F.size("gallery"), F.lit(5))
-    return e.join(g, "label").select(
-        "vec_id", tidy(sim).alias("top5"), tidy(sim * k).alias("total5")
+    met = e.join(label_galleries(e, 64), "label").select(
+        "vec_id", V.gallery_best(V.l2norm(F.col("embedding")), F.col("gallery")).alias("best")
     )
+    best = F.slice(F.sort_array(F.flatten(F.collect_list("best")), False), 1, 5)
+    merged = met.groupBy("vec_id").agg(best.alias("best"))
+    sum5 = F.aggregate("best", F.lit(0.0), lambda a, x: a + x)
+    return merged.select("vec_id", tidy(sum5 / F.size("best")).alias("top5"), tidy(sum5).alias("total5"))
 
 
 @query("gallery_max", "F11", f"""WITH {_GALLERY},
@@ -255,9 +256,9 @@ def gallery_max(spark, sf):
 
     mag = lambda a: F.transform(a, lambda x: F.abs(x.cast("double")))
     e = A.embeddings(spark, sf)
-    g = label_galleries(e, 8)
     best = V.gallery_max(mag(F.col("embedding")), F.transform("gallery", mag))
-    return e.join(g, "label").select("vec_id", tidy(best, 5).alias("best"))
+    met = e.join(label_galleries(e, 64), "label").select("vec_id", best.alias("best"))
+    return met.groupBy("vec_id").agg(tidy(F.max("best"), 5).alias("best"))
 
 
 @query("scene_change", "F12", f"""WITH {_PREV},

@@ -16,8 +16,9 @@ KEYS = ["run_id", "frame_index", "video_frame", "mesh_file"]
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder of the session, local only in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stridegrid-")
+    """A fresh path in the shared folder of the session, local only where none is set, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    root = root or tempfile.mkdtemp(prefix="stridegrid-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -73,9 +74,9 @@ def _joint_names(count: int) -> list[str]:
 
 
 def write_kinematics_csv(rows: DataFrame, path: str, block: int = 65_536) -> None:
-    """Ordered CSV parts per run, split by blocks of frames."""
+    """Ordered CSV parts per run: part files follow the frames, the unit row comes first."""
     part = F.floor(F.greatest(F.col("_order"), F.lit(0)) / block)
-    ordered = rows.withColumn("_part", part).repartition("run_id", "_part")
+    ordered = rows.withColumn("_part", part).repartitionByRange("run_id", "_part")
     ordered = ordered.sortWithinPartitions("run_id", "_part", "_order")
     out = ordered.drop("_order", "_part")
     out.write.mode("overwrite").partitionBy("run_id").option("header", True).option("emptyValue", "").csv(path)
