@@ -15,7 +15,7 @@ from stridegrid.llm.common import staged
 MOST_CONTEXTS = 200_000
 #: Rows that are worked on together.
 _TOGETHER = 20_000
-#: Anchors and spans that may be broadcast (16 bytes each).
+#: Spans that may be broadcast (16 bytes each).
 BROADCAST_ITEMS = 4_000_000
 
 _BASE = 0x9E3779B97F4A7C15
@@ -197,10 +197,7 @@ def _contexts(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
                 names=["route", "hash", "tid", "pos", "before", "after", "until"],
             )
 
-    found = staged(found, "anchors")
     per_text = found.groupBy("tid").agg(F.collect_list(F.struct("pos", "hash")).alias("at"))
-    if found.count() <= BROADCAST_ITEMS:
-        per_text = F.broadcast(per_text)
     return texts.join(per_text, "tid").mapInArrow(cut, _CONTEXTS)
 
 
