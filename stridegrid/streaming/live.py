@@ -17,30 +17,49 @@ from stridegrid.streaming.identity import TrackTable
 
 
 class _Kept(StatefulProcessor):
-    """Keeps one pickled state per key; rows of a batch are fed in frame order.
+    """Keeps one pickled state per key; rows are fed in frame order.
 
-    Rows at or before the last frame already emitted come too late and are left
-    out, as an id is never rewritten.
+    With ``split_frames`` the newest frame stays open: its rows are kept in the
+    state until a later frame arrives, so a frame may be split over
+    micro-batches; a last row of a later frame closes a video.
+    Without, a micro-batch must hold whole frames. Rows of frames that are
+    closed come too late and are left out, as an id is never rewritten.
     """
 
     frame = "frame"
 
+    def __init__(self, split_frames: bool = False):
+        self.split_frames = split_frames
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.slot = handle.getValueState("state", T.StructType([T.StructField("blob", T.BinaryType())]))
 
+    def _load(self):
+        """The last closed frame, rows of the open one, the state."""
+        return pickle.loads(bytes(self.slot.get()[0])) if self.slot.exists() else (None, None, None)
+
+    def _close(self, last, state, rows: pd.DataFrame, open_rows: pd.DataFrame | None) -> Iterator[pd.DataFrame]:
+        out = None
+        if len(rows):
+            state, out = self.feed(state, rows.reset_index(drop=True))
+            last = int(rows[self.frame].max())
+        self.slot.update((pickle.dumps((last, open_rows, state)),))
+        if out is not None:
+            yield out
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = pickle.loads(bytes(self.slot.get()[0])) if self.slot.exists() else None
-        parts = [p for p in rows if len(p)]
+        last, open_rows, state = self._load()
+        parts = [p for p in (open_rows, *rows) if p is not None and len(p)]
         if not parts:
             return
         pdf = pd.concat(parts, ignore_index=True).sort_values(self.order, kind="stable")
-        last = None if held is None else held[0]
         if last is not None:
             pdf = pdf[pdf[self.frame] > last]
-        if len(pdf):
-            state, out = self.feed(None if held is None else held[1], pdf.reset_index(drop=True))
-            self.slot.update((pickle.dumps((int(pdf[self.frame].max()), state)),))
-            yield out
+        open_rows = None
+        if self.split_frames and len(pdf):
+            newest = pdf[self.frame] == pdf[self.frame].max()
+            pdf, open_rows = pdf[~newest], pdf[newest]
+        yield from self._close(last, state, pdf, open_rows)
 
     def close(self) -> None:
         pass
@@ -58,7 +77,8 @@ class LockProcessor(_Kept):
     frame = "frame_index"
     order = ["frame_index"]
 
-    def __init__(self, width: float, height: float):
+    def __init__(self, width: float, height: float, split_frames: bool = False):
+        super().__init__(split_frames)
         self.width, self.height = width, height
 
     def feed(self, lock, pdf: pd.DataFrame):
@@ -66,24 +86,28 @@ class LockProcessor(_Kept):
         return lock, pd.concat([pdf[["run_id", "frame_index"]], out], axis=1)
 
 
-def track_stream(dets: DataFrame) -> DataFrame:
-    """Live ids; ``dets``: video_id, frame, det_id, corners, optional emb, tab, scene_change.
+def track_stream(dets: DataFrame, split_frames: bool = False) -> DataFrame:
+    """Live ids; ``dets``: video_id, frame, det_id, corners, optional emb, scene_change.
 
-    A micro-batch may hold any number of whole frames of a video.
+    Without ``split_frames`` a micro-batch holds any number of whole frames of a
+    video; with it a frame may be split (see ``_Kept``).
     """
     schema = "video_id long, frame long, det_id long, track_id long"
     return dets.groupBy("video_id").transformWithStateInPandas(
-        TrackProcessor(), outputStructType=schema, outputMode="append", timeMode="none"
+        TrackProcessor(split_frames), outputStructType=schema, outputMode="append", timeMode="none"
     )
 
 
-def lock_stream(frames: DataFrame, width: float, height: float) -> DataFrame:
+def lock_stream(frames: DataFrame, width: float, height: float, split_frames: bool = False) -> DataFrame:
     """Live lock; columns as in the batch operator."""
     schema = T.StructType(
         [T.StructField("run_id", T.LongType()), T.StructField("frame_index", T.LongType()), *OUT.fields]
     )
     return lock_evidence(frames, width, height).groupBy("run_id").transformWithStateInPandas(
-        LockProcessor(width, height), outputStructType=schema, outputMode="append", timeMode="none"
+        LockProcessor(width, height, split_frames),
+        outputStructType=schema,
+        outputMode="append",
+        timeMode="none",
     )
 
 
@@ -108,11 +132,20 @@ def absence_sessions(df: DataFrame, keys: list[str], time: str = "ts", gap: str
     return counted.select(*keys, F.col("w.start").alias("first_seen"), "last_seen", "n")
 
 
-def live_metrics(records: DataFrame, path: str, checkpoint: str, key: str = "run_id", every: int = 10):
-    """Write a progress row per key and micro-batch; returns the running query."""
+def live_metrics(records: DataFrame, path: str, checkpoint: str, key: str = "run_id", at: str = "frame_index"):
+    """Write the counts of each micro-batch per key; returns the running query.
+
+    Every epoch has a folder of its own that a replay overwrites, so no row
+    counts twice. ``live_totals`` adds the epochs up.
+    """
 
     def save(batch: DataFrame, epoch: int) -> None:
-        progress(batch, key, every).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)
+        counts = batch.groupBy(key).agg(
+            F.count(F.lit(1)).alias("frames"),
+            F.max(at).alias("last"),
+            F.sum(F.col("present").cast("long")).alias("present"),
+        )
+        counts.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return (
         records.writeStream.foreachBatch(save)
@@ -122,8 +155,17 @@ def live_metrics(records: DataFrame, path: str, checkpoint: str, key: str = "run
     )
 
 
+def live_totals(counts: DataFrame, key: str = "run_id", every: int = 10) -> DataFrame:
+    """Progress of each key so far from the counts of all epochs."""
+    return counts.groupBy(key).agg(
+        F.sum("frames").alias("frames"),
+        (F.floor((F.max("last") + 1) / every) * every).alias("reported_to"),
+        F.sum("present").alias("present"),
+    )
+
+
 def progress(df: DataFrame, key: str, every: int, at: str = "frame_index") -> DataFrame:
-    """Counts of all rows up to the last multiple of ``every`` per key."""
+    """Counts of all rows per key, and the last multiple of ``every`` frames they reach."""
     last = F.floor((F.max(at) + 1) / every) * every
     return df.groupBy(key).agg(
         F.count(F.lit(1)).alias("frames"), last.alias("reported_to"),
