@@ -15,7 +15,7 @@ from stridegrid.llm.common import small, staged
 from stridegrid.llm.components import components
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-_WORDS_KEPT = 500_000
+_WORDS_KEPT = 200_000
 #: Buckets of the frequency sketch (2**bits) and of one of its chunks.
 SKETCH_BITS, CHUNK_BITS = 22, 16
 #: Shingles and sets of a block; a task joins two blocks at a time.

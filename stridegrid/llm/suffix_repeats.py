@@ -15,6 +15,8 @@ from stridegrid.llm.common import staged
 MOST_CONTEXTS = 200_000
 #: Rows that are worked on together.
 _TOGETHER = 20_000
+#: Anchors whose surroundings are folded together.
+_ANCHORS = 50_000
 #: Spans that may be broadcast (16 bytes each).
 BROADCAST_ITEMS = 4_000_000
 
@@ -152,50 +154,60 @@ _CONTEXTS = "route bigint, hash bigint, tid bigint, pos int, before binary, afte
 def _contexts(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
     """What stands around every repeated anchor: up to length - k bytes on both sides, the left ones reversed.
 
-    Places of a batch with equal surroundings are repeats as they are: one of
+    Places of some texts with equal surroundings are repeats as they are: one of
     them goes on, and all their bytes are given out as spans (``until`` set).
     """
     k = length // 2
     side = length - k
 
+    def folded(tids: list[int], texts: list[str], pos: np.ndarray, h: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        first: dict[tuple[int, bytes, bytes], list] = {}
+        spans: dict[int, list[tuple[int, int]]] = {}
+        for i, (tid, text) in enumerate(zip(tids, texts, strict=True)):
+            data = text.encode("utf-8", "surrogatepass")
+            turned, n = data[::-1], len(data)
+            own = slice(ends[i], ends[i + 1])
+            for p, x in zip(pos[own].tolist(), h[own].tolist(), strict=True):
+                key = (x, turned[n - p : n - p + side], data[p + k : p + length])
+                if (one := first.get(key)) is None:
+                    first[key] = [tid, p, False]
+                    continue
+                if not one[2]:
+                    one[2] = True
+                    spans.setdefault(one[0], []).append((one[1] - len(key[1]), one[1] + k + len(key[2])))
+                spans.setdefault(tid, []).append((p - len(key[1]), p + k + len(key[2])))
+        keys = list(first)
+        runs = [(tid, a, b) for tid, x in spans.items() for a, b in merged(np.array(x)).tolist() if b - a >= length]
+        m, s = len(keys), len(runs)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([x[0] for x in keys] + [x[0] for x in runs], pa.int64()),
+                pa.array([x[0] for x in keys] + [0] * s, pa.int64()),
+                pa.array([first[x][0] for x in keys] + [x[0] for x in runs], pa.int64()),
+                pa.array([first[x][1] for x in keys] + [x[1] for x in runs], pa.int32()),
+                pa.array([x[1] for x in keys] + [None] * s, pa.binary()),
+                pa.array([x[2] for x in keys] + [None] * s, pa.binary()),
+                pa.array([None] * m + [x[2] for x in runs], pa.int32()),
+            ],
+            names=["route", "hash", "tid", "pos", "before", "after", "until"],
+        )
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            first: dict[tuple[int, bytes, bytes], list] = {}
-            spans: dict[int, list[tuple[int, int]]] = {}
-            rows = zip(*(batch.column(x).to_pylist() for x in ("tid", "_text", "at")), strict=True)
-            for tid, text, at in rows:
-                if tid in seen:
-                    continue
-                seen.add(tid)
-                data = text.encode("utf-8", "surrogatepass")
-                turned, n = data[::-1], len(data)
-                for place in at:
-                    pos, h = place["pos"], place["hash"]
-                    key = (h, turned[n - pos : n - pos + side], data[pos + k : pos + length])
-                    if (one := first.get(key)) is None:
-                        first[key] = [tid, pos, False]
-                        continue
-                    if not one[2]:
-                        one[2] = True
-                        spans.setdefault(one[0], []).append((one[1] - len(key[1]), one[1] + k + len(key[2])))
-                    if len(key[1]) + len(key[2]) >= side:
-                        spans.setdefault(tid, []).append((pos - len(key[1]), pos + k + len(key[2])))
-            keys = list(first)
-            runs = [(tid, a, b) for tid, x in spans.items() for a, b in merged(np.array(x)).tolist() if b - a >= length]
-            m, s = len(keys), len(runs)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([x[0] for x in keys] + [x[0] for x in runs], pa.int64()),
-                    pa.array([x[0] for x in keys] + [0] * s, pa.int64()),
-                    pa.array([first[x][0] for x in keys] + [x[0] for x in runs], pa.int64()),
-                    pa.array([first[x][1] for x in keys] + [x[1] for x in runs], pa.int32()),
-                    pa.array([x[1] for x in keys] + [None] * s, pa.binary()),
-                    pa.array([x[2] for x in keys] + [None] * s, pa.binary()),
-                    pa.array([None] * m + [x[2] for x in runs], pa.int32()),
-                ],
-                names=["route", "hash", "tid", "pos", "before", "after", "until"],
-            )
+            at = batch.column("at")
+            ends = at.offsets.to_numpy()
+            pos, h = (at.values.field(x).to_numpy() for x in ("pos", "hash"))
+            tid = batch.column("tid").to_pylist()
+            # texts with about _ANCHORS anchors are folded together
+            group = (ends[:-1] - ends[0]) // _ANCHORS
+            for a, b in _slices(group):
+                take = [i for i in range(a, b) if not (tid[i] in seen or seen.add(tid[i]))]
+                texts = [batch.column("_text")[i].as_py() for i in take]
+                each = [np.arange(ends[i], ends[i + 1]) for i in take]
+                where = np.concatenate(each) if each else np.zeros(0, np.int64)
+                bounds = np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int64)
+                yield folded([tid[i] for i in take], texts, pos[where], h[where], bounds)
 
     per_text = found.groupBy("tid").agg(F.collect_list(F.struct("pos", "hash")).alias("at"))
     return texts.join(per_text, "tid").mapInArrow(cut, _CONTEXTS)
