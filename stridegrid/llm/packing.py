@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import string
+import unicodedata
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -20,73 +22,118 @@ from stridegrid.llm.common import small, staged
 QUEUES = 255
 #: Weights of the queues served in a round add up to 2**WEIGHT_BITS.
 WEIGHT_BITS = 20
-_CACHED = 300_000
+#: Entries of a generation of the word table of a worker; two generations are held.
+_WORDS = 300_000
+#: A comma or full stop that belongs to a run of other marks.
+_RUN = re.compile(r"(?:[^\w\s]|_)[.,](?:\s|\Z)")
+#: Texts that are split at a time.
+_TEXTS = 500
+
+
+class _Aging:
+    """A table of two generations: what was not asked for since the last change goes with the next one."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.young, self.old = size, {}, {}
+
+    def age(self) -> None:
+        if len(self.young) > self.size:
+            self.young, self.old = {}, self.young
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """The keys that are not known; all others are in the young generation from now on."""
+        young, old = self.young, self.old
+        absent = {x for x in keys if x not in young}
+        kept = [x for x in absent if x in old]
+        for key in kept:
+            young[key] = old[key]
+        return absent.difference(kept)
 
 
 class WordCache:
     """Token ids of texts, word by word.
 
-    The tokenizer splits at white space and between letters and punctuation,
-    so ids of a chunk do not depend on what stands around it. Chunks, and words
-    without their closing punctuation, are looked up in tables of bounded size;
-    what is missing is encoded together. Texts with characters whose reading
-    may depend on more than the chunk are encoded whole.
+    The tokenizer lowers case, splits at white space and between letters and
+    punctuation, so ids of a word do not depend on what stands around it. Words
+    are looked up in a table of bounded size; what is missing is encoded
+    together. Texts with characters whose reading may depend on more than the
+    word are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words = _Aging(_WORDS)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _whole(self, text: str) -> bool:
-        """True if the text must be encoded whole."""
-        return any(x in text for x in self.special) or any(x in text for x in "\x1c\x1d\x1e\x1fΣİ")
+    def _split(self, text: str) -> list[str] | None:
+        """Words of a text; None if it must be encoded whole."""
+        if any(x in text for x in "\x1c\x1d\x1e\x1fΣİ"):
+            return None
+        low = text.lower()
+        if any(x in low for x in self.special):
+            return None
+        if not _RUN.search(low):  # then closing marks stand by themselves
+            low = low.replace(", ", " , ").replace(". ", " . ").replace(",\n", " , ").replace(".\n", " . ")
+        return low.split()
+
+    def _encode_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of words; those of letters alone are one pre-token each and are encoded as a line."""
+        lines = [w for w in words if w.isalpha() and unicodedata.is_normalized("NFC", w)]
+        for i in range(0, len(lines), 1000):
+            part = lines[i : i + 1000]
+            line = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            word = np.array(line.word_ids)
+            if len(word) and word[-1] + 1 != len(part):
+                yield from ((w, self._plain(w)) for w in part)
+                continue
+            at = np.searchsorted(word, np.arange(len(part) + 1))
+            ids = np.array(line.ids, self.dtype)
+            yield from ((w, ids[a:b].tobytes()) for w, a, b in zip(part, at[:-1], at[1:], strict=True))
+        rest = set(words).difference(lines)
+        yield from ((w, self._plain(w)) for w in rest)
 
-    def _learn(self, missing: list[str]) -> None:
-        if len(self.chunks) > _CACHED:
-            self.chunks.clear()
-        if len(self.words) > _CACHED:
-            self.words.clear()
+    def _learn(self, words: set[str]) -> None:
+        missing = self.words.missing(words)
         parts: dict[str, tuple[str, str]] = {}
+        new = set()
         for chunk in missing:
+            if chunk.isalpha():
+                new.add(chunk)
+                continue
             word = chunk.rstrip(string.punctuation)
-            split = word and len(word) < len(chunk) and word[-1].isalnum() and "'" not in chunk
-            parts[chunk] = (word, chunk[len(word) :]) if split else (chunk, "")
-        new = list({x for pair in parts.values() for x in pair if x and x not in self.words})
-        simple = [x for x in new if x.isalpha() and x.isascii()]
-        for i in range(0, len(simple), 1000):  # one word is one pre-token: the ids of a line fall to its words
-            line = self.tokenizer.encode(" ".join(simple[i : i + 1000]), add_special_tokens=False)
-            at = np.searchsorted(np.array(line.word_ids), np.arange(len(simple[i : i + 1000]) + 1))
-            ids = np.array(line.ids, self.dtype)
-            for word, a, b in zip(simple[i : i + 1000], at[:-1], at[1:], strict=True):
-                self.words[word] = ids[a:b].tobytes()
-        for word in new:
-            if word not in self.words:
-                self.words[word] = self._plain(word)
-        for chunk, pair in parts.items():
-            self.chunks[chunk] = b"".join(self.words[x] for x in pair if x)
+            if word and len(word) < len(chunk) and word[-1].isalnum() and "'" not in chunk:
+                parts[chunk] = word, chunk[len(word) :]
+            else:
+                new.add(chunk)
+        pieces = {x for pair in parts.values() for x in pair} - new
+        new |= self.words.missing(pieces) if pieces else pieces
+        known = self.words.young
+        known.update(self._encode_words(list(new)))
+        for chunk, (word, tail) in parts.items():
+            known[chunk] = known[word] + known[tail]
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """Token ids of texts as packed unsigned numbers of ``dtype``."""
+        out: list[bytes] = []
+        for i in range(0, len(texts), _TEXTS):
+            part = [x or "" for x in texts[i : i + _TEXTS]]
+            split = [self._split(x) for x in part]
+            self.words.age()
+            self._learn(set().union(*(x for x in split if x)))
+            ids = self.words.young.__getitem__
+            out += [
+                self._plain(text) if words is None else b"".join(map(ids, words))
+                for text, words in zip(part, split, strict=True)
+            ]
+        return out
 
     def ids(self, text: str | None) -> bytes:
-        """Token ids of a text as packed unsigned numbers of ``dtype``."""
-        if not text:
-            return b""
-        if self._whole(text):
-            return self._plain(text)
-        chunks = text.split()
-        missing = [x for x in set(chunks) if x not in self.chunks]
-        if missing:
-            self._learn(missing)
-            if len(missing) < len(set(chunks)):
-                known = self.chunks
-                more = [x for x in set(chunks) if x not in known]
-                if more:  # the table was cleared
-                    self._learn(more)
-        return b"".join(map(self.chunks.__getitem__, chunks))
+        """Token ids of one text."""
+        return self.many([text])[0]
 
 
 _CACHES: dict[str, WordCache] = {}
@@ -157,30 +204,56 @@ def schedule(totals: Sequence[int], weights: Sequence[float], window: int) -> li
     return out
 
 
-def pieces_of(phases: list[Phase], queue: int, start: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where tokens [start, start + size) of a queue go: their starts, lengths and global positions, one run a round."""
-    starts, lengths, places = [], [], []
+def pieces_of(
+    phases: list[Phase], queue: int, start: np.ndarray, size: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where tokens [start, start + size) of a queue go, for many documents at once.
+
+    Returns the document, first token, length and global position of every run
+    of tokens that one round gives.
+    """
+    rows, starts, lengths, places = [], [], [], []
     end = start + size
     for i, phase in enumerate(phases):
         low = int(phase.given[queue])
         high = int(phases[i + 1].given[queue]) if i + 1 < len(phases) else low + int(phase.left[queue])
-        a, b = max(start, low) - low, min(end, high) - low
-        if a >= b:
+        a, b = np.maximum(start, low) - low, np.minimum(end, high) - low
+        here = np.flatnonzero(a < b)
+        if not len(here):
             continue
+        a, b = a[here], b[here]
         w, c = int(phase.weight[queue]), int(phase.credit[queue])
         first = -(-(((a + 1) << phase.shift) - c) // w)
-        last = -(-((b << phase.shift) - c) // w)
-        rounds = np.arange(first, last + 1, dtype=np.int64)
-        before = phase.served(rounds - 1)
-        after = phase.served(rounds)
+        count = -(-((b << phase.shift) - c) // w) - first + 1
+        row = np.repeat(np.arange(len(here)), count)
+        rounds = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        before, after = phase.served(rounds - 1), phase.served(rounds)
         own = before[:, queue]
-        s, e = np.maximum(a, own), np.minimum(b, after[:, queue])
+        s, e = np.maximum(a[row], own), np.minimum(b[row], after[:, queue])
         place = phase.at + before.sum(axis=1) + (after[:, :queue] - before[:, :queue]).sum(axis=1) + (s - own)
         keep = e > s
+        rows.append(here[row[keep]])
         starts.append(s[keep] + low)
         lengths.append((e - s)[keep])
         places.append(place[keep])
-    return np.concatenate(starts), np.concatenate(lengths), np.concatenate(places)
+    none = [np.zeros(0, np.int64)]
+    return tuple(np.concatenate(none + x) for x in (rows, starts, lengths, places))
+
+
+def windowed(place: np.ndarray, length: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs cut at the ends of sequences: the run of every piece, its place and length; ``edges``: ends, ascending."""
+    stop = edges[np.searchsorted(edges, place, side="right")]
+    run, at, size = [np.arange(len(place))], [place], [np.minimum(length, stop - place)]
+    while True:
+        left = length[run[-1]] - (at[-1] + size[-1] - place[run[-1]])
+        more = left > 0
+        if not more.any():
+            break
+        run.append(run[-1][more])
+        at.append((at[-1] + size[-1])[more])
+        stop = edges[np.searchsorted(edges, at[-1], side="right")]
+        size.append(np.minimum(left[more], stop - at[-1]))
+    return np.concatenate(run), np.concatenate(at), np.concatenate(size)
 
 
 def tail_edges(total: int, window: int) -> list[int]:
@@ -209,7 +282,7 @@ def token_table(
         counts: dict[str, int] = {}
         for batch in batches:
             sources = batch.column("source").to_pylist()
-            ids = [cache.ids(x) + end for x in batch.column("_text").to_pylist()]
+            ids = [x + end for x in cache.many(batch.column("_text").to_pylist())]
             n, before = [], []
             for s, x in zip(sources, ids, strict=True):
                 n.append(len(x) // cache.dtype.itemsize)
@@ -299,25 +372,28 @@ def pack(
         full = total // window * window
         for batch in batches:
             keys = batch.column("_key")
-            rows = zip(*(batch.column(x).to_pylist() for x in ("queue", "base", "before", "n", "ids")), strict=True)
-            row, start, length, whole, place, out = [], [], [], [], [], []
-            for i, (queue, base, before, n, packed) in enumerate(rows):
-                at = base + before
-                s, size, g = pieces_of(own_phases, queue, at, n)
-                s = s - at
-                ids = np.frombuffer(packed, dtype).astype("<u4")
-                for a, k, p in zip(s.tolist(), size.tolist(), g.tolist(), strict=True):
-                    while k:
-                        stop = (p // window + 1) * window if p < full else next(e for e in own_edges if e > p)
-                        m = min(k, stop - p)
-                        row.append(i)
-                        start.append(a)
-                        length.append(m)
-                        whole.append(n)
-                        place.append(p)
-                        out.append(ids[a : a + m].tobytes())
-                        a, k, p = a + m, k - m, p + m
-            position = np.array(place, np.int64)
+            queue, base, before, n = (batch.column(x).to_numpy() for x in ("queue", "base", "before", "n"))
+            at = base + before
+            docs_, starts, lengths, places = [], [], [], []
+            for q in np.unique(queue).tolist():
+                own = np.flatnonzero(queue == q)
+                doc, s, k, g = pieces_of(own_phases, q, at[own], n[own])
+                docs_.append(own[doc])
+                starts.append(s - at[own[doc]])
+                lengths.append(k)
+                places.append(g)
+            doc, begin, size, g = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (docs_, starts, lengths, places))
+            # ends of the sequences that this batch touches
+            low, high = (g.min() // window, (g + size).max() // window + 1) if len(g) else (0, 0)
+            ends = np.arange(low + 1, min(high, total // window) + 1, dtype=np.int64) * window
+            ends = np.unique(np.concatenate((ends, np.array([*own_edges, total // window * window], np.int64))))
+            run, position, length = windowed(g, size, ends)
+            row, start = doc[run], begin[run] + (position - g[run])
+            packed = [np.frombuffer(x, dtype).astype("<u4").tobytes() for x in batch.column("ids").to_pylist()]
+            out = [
+                packed[i][4 * a : 4 * (a + m)] for i, a, m in zip(row.tolist(), start.tolist(), length.tolist(), strict=True)
+            ]
+            whole = n[row]
             borders = np.array([full, *own_edges], np.int64)
             late = np.searchsorted(borders, position, side="right") - 1
             sequence = np.where(position < full, position // window, full // window + late)

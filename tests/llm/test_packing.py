@@ -7,7 +7,7 @@ from edges import edge_docs, no_docs
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stridegrid.llm.packing import WordCache, pack, pieces_of, schedule, tail_edges
+from stridegrid.llm.packing import WordCache, pack, pieces_of, schedule, tail_edges, windowed
 from stridegrid.llm.queries import TOKENIZER
 
 
@@ -16,8 +16,9 @@ def test_cached_words_give_the_ids_of_whole_texts():
     pool = list("abc ABC .,'!?-\"\t\n012é ÉßΣσςİ一二ⅣⅫ²½́​  —“”…\x1c\x85😀ñÑ<|>_@#") + [
         "'s", "'ll", " don't ", "<|endoftext|>", "the", "Thing", "ﬁ", "ẞ", "ͅ", "K",
     ]
-    for _ in range(3000):
-        text = "".join(rng.choice(pool) for _ in range(rng.randint(0, 25)))
+    for i in range(6000):
+        plain = ["word", "Größe", ", ", ". ", ",\n", ".\n", "...", " a", "été", "!, ", "_, "]
+        text = "".join(rng.choice(pool if i % 2 else plain) for _ in range(rng.randint(0, 25)))
         want = cache.tokenizer.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(cache.ids(text), cache.dtype).tolist() == want
 
@@ -33,7 +34,7 @@ def test_schedule_gives_every_token_one_place_and_keeps_proportions(totals, weig
         at = 0
         while at < n:
             size = min(n - at, rng.randint(1, 50))
-            starts, lengths, places = pieces_of(phases, queue, at, size)
+            _, starts, lengths, places = pieces_of(phases, queue, np.array([at]), np.array([size]))
             assert starts[0] == at and lengths.sum() == size
             for place, length in zip(places, lengths, strict=True):
                 assert (owner[place : place + length] == -1).all()
@@ -53,6 +54,11 @@ def test_tail_is_powers_of_two():
     assert tail_edges(8192, 4096) == [] and tail_edges(0, 4096) == []
 
 
+def test_runs_are_cut_at_the_ends_of_sequences():
+    run, at, size = windowed(np.array([3, 9]), np.array([4, 12]), np.array([4, 8, 16, 32]))
+    assert sorted(zip(at.tolist(), size.tolist(), run.tolist())) == [(3, 1, 0), (4, 3, 0), (9, 7, 1), (16, 5, 1)]
+
+
 def checked(docs, window, **options):
     rows = docs.select("doc_id", "text").collect()
     plain = Tokenizer.from_file(TOKENIZER)
