@@ -134,9 +134,16 @@ def test_clamped_anchor_matches_free_anchor_below_the_limit(spark):
     assert max(abs(x) for _, _, x in held) <= 0.1 + 1e-9 < max(abs(x) for _, _, x in free)
 
 
-@pytest.mark.parametrize("small", [50_000, 0])
-def test_quantiles_match_numpy_with_and_without_slicing(spark, monkeypatch, small):
-    monkeypatch.setattr(Q, "_SMALL", small)
+def test_quantiles_of_few_values_match_numpy(spark):
+    rng = np.random.default_rng(7)
+    sets = {n: rng.integers(0, 9, n).astype(float) for n in range(1, 40)}
+    pdf = pd.DataFrame([(n, v) for n, x in sets.items() for v in x], columns=["k", "v"])
+    qs = {"a": 0.0, "b": 0.1, "c": 0.3, "d": 0.5, "e": 0.95, "f": 1.0}
+    for r in Q.exact_quantiles(spark.createDataFrame(pdf), ["k"], "v", qs).collect():
+        assert np.allclose([r[x] for x in qs], np.quantile(sets[r.k], list(qs.values())), atol=1e-12)
+
+
+def test_quantiles_match_numpy(spark):
     rng = np.random.default_rng(1)
     big = np.concatenate([rng.normal(size=30_000), np.zeros(20_000), rng.normal(size=10_000) * 50])
     pdf = pd.DataFrame({"k": 1, "v": big})
