@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import string
 import unicodedata
 from collections.abc import Iterator, Sequence
@@ -23,9 +22,7 @@ QUEUES = 255
 #: Weights of the queues served in a round add up to 2**WEIGHT_BITS.
 WEIGHT_BITS = 20
 #: Entries of a generation of the word table of a worker; two generations are held.
-_WORDS = 300_000
-#: A comma or full stop that belongs to a run of other marks.
-_RUN = re.compile(r"(?:[^\w\s]|_)[.,](?:\s|\Z)")
+_WORDS = 500_000
 #: Texts that are split at a time.
 _TEXTS = 500
 
@@ -74,11 +71,7 @@ class WordCache:
         if any(x in text for x in "\x1c\x1d\x1e\x1fΣİ"):
             return None
         low = text.lower()
-        if any(x in low for x in self.special):
-            return None
-        if not _RUN.search(low):  # then closing marks stand by themselves
-            low = low.replace(", ", " , ").replace(". ", " . ").replace(",\n", " , ").replace(".\n", " . ")
-        return low.split()
+        return None if any(x in low for x in self.special) else low.split()
 
     def _encode_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """Ids of words; those of letters alone are one pre-token each and are encoded as a line."""
