@@ -215,16 +215,28 @@ def path_scores(blocks: list[Block], smooth: tuple[float, float] = (0.5, 0.25))
     return out
 
 
-def main_text(page: str | None, cut: float = 0.5) -> str:
+def _marks(kept: list[Block], names: dict[int, str]) -> list[tuple[int, int]]:
+    """The main and the outermost article of every block, 0 where it stands in none; a main within an article is part of it."""
+    out = []
+    for b in kept:
+        article = next((i for i in b.inside if names[i] == "article"), 0)
+        before = b.inside[: b.inside.index(article)] if article else b.inside
+        out.append((next((i for i in before if names[i] == "main"), 0), article))
+    return out
+
+
+def main_text(page: str | None, cut: float = 0.5, share: float = 0.1) -> str:
     """The main text of a page; blocks in page order, one per line.
 
     Paths whose fused ratio reaches ``cut`` standard deviations of all paths
-    are content. The content is then the article or main element with most
-    text on content paths, or, where a page marks none, the deepest element
-    with nine tenths of that text; every block there is kept that is not page
-    furniture. Where no element marks the article, blocks of mostly link text go
-    too, and if the content fills no element of its own, so do blocks of which
-    neither the path nor a sibling path is content.
+    are content, and their blocks are kept wherever they stand, unless they
+    are page furniture or mostly link text. What else is kept lies around
+    them. Article and main elements with ``share`` of the content of the
+    heaviest one are kept whole if they hold most of the content, with the
+    headings and blocks that a main element has beside such an article. If they
+    hold less, or the page marks none, these are the blocks of the deepest
+    element with nine tenths of the content; if that is the page itself, only
+    those of which a sibling path is content.
     """
     if not page:
         return ""
@@ -235,28 +247,44 @@ def main_text(page: str | None, cut: float = 0.5) -> str:
         return ""
     limit = cut * float(np.std(list(scores.values())))
     content = {p for p, s in scores.items() if s > 0 and s >= limit} or {b.path for b in kept}
-    weight: dict[int, float] = {}
-    total = 0.0
-    for b in kept:
+    marks = _marks(kept, names)
+    weight: dict[int, int] = {}
+    own: dict[int, int] = {}
+    total = 0
+    for b, (main, article) in zip(kept, marks, strict=True):
         if b.path in content:
             total += len(b.text)
             for i in b.inside:
                 weight[i] = weight.get(i, 0) + len(b.text)
-    depth = {i: d for b in kept for d, i in enumerate(b.inside)}
-    for kind in ("article", "main"):
-        marked = [i for i in {i for b in kept for i in b.inside} if names[i] == kind]
-        if marked:
-            root = max(marked, key=lambda i: (weight.get(i, 0), -depth[i], -i))
-            return "\n".join(b.text for b in kept if root in b.inside)
-    root = max((i for i, w in weight.items() if w >= 0.9 * total), key=lambda i: (depth[i], i))
-    near = {p[:-1] for p in content} if names[root] in ("#page", "html", "body") else None
-    return "\n".join(
-        b.text
-        for b in kept
-        if root in b.inside
-        and 2 * b.link_chars <= max(1, len(b.text))
-        and (near is None or b.path in content or b.path[:-1] in near)
-    )
+            if main or article:
+                own[article or main] = own.get(article or main, 0) + len(b.text)
+    filled = {i for i, w in own.items() if w >= share * max(own.values())}
+    around: set[int] = set()
+    for b, (_, article) in zip(kept, marks, strict=True):
+        if article in filled:
+            around.update(b.inside[: b.inside.index(article)])
+    if 2 * sum(own[i] for i in filled) <= total:
+        filled = None
+        depth = {i: d for b in kept for d, i in enumerate(b.inside)}
+        root = max((i for i, w in weight.items() if w >= 0.9 * total), key=lambda i: (depth[i], i))
+        near = {p[:-1] for p in content} if names[root] in ("#page", "html", "body") else None
+
+    def stays(b: Block, main: int, article: int) -> bool:
+        linked = 2 * b.link_chars > max(1, len(b.text))
+        if filled is None:
+            return not linked and (
+                b.path in content or root in b.inside and (near is None or b.path[:-1] in near)
+            )
+        if article in filled or (main in filled and not article and main not in around):
+            return True
+        if linked or b.path in content:
+            return not linked
+        if article or main not in around:
+            return False
+        parents = [i for i in b.inside[:-1] if names[i] not in ("header", "hgroup")]
+        return main in filled or names[b.inside[-1]] == "h1" or parents[-1] in around
+
+    return "\n".join(b.text for b, (main, article) in zip(kept, marks, strict=True) if stays(b, main, article))
 
 
 def extract_text(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

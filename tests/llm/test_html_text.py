@@ -34,6 +34,26 @@ def test_page_without_article_takes_the_content_paths():
     ]
 
 
+STORY = [f"Part {i} of the story, long enough to count as text, with marks; and with more words." for i in range(4)]
+
+
+def test_all_articles_of_a_story_and_the_head_of_main_are_kept():
+    several = "".join(f"<article><p>{x}</p></article>" for x in STORY)
+    assert main_text(f"<body>{several}</body>").split("\n") == STORY
+    assert main_text(f"<body><div><article><p>{STORY[0]}</p></article></div><p>{STORY[1]}</p></body>").split("\n") == STORY[:2]
+    story = "".join(f"<p>{x}</p>" for x in STORY)
+    page = f"""<body><nav>Menu</nav><main><header><h1>Head</h1></header><p class="lede">Short lede.</p><article>{story}
+    <ul><li>a<li>b</ul></article><div class="cards"><p>Other.</p></div><p><a href=x>more</a></p></main></body>"""
+    assert main_text(page).split("\n") == ["Head", "Short lede.", *STORY, "a", "b"]
+
+
+def test_a_teaser_card_does_not_replace_the_story():
+    story = "".join(f"<p>{x}</p>" for x in STORY)
+    page = f"""<body><div class="story"><h2>Head</h2>{story}</div>
+    <div class="cards"><article class="card"><h3>Card</h3><p>Read.</p></article></div></body>"""
+    assert main_text(page).split("\n") == ["Head", *STORY]
+
+
 def test_path_scores_put_text_over_links():
     blocks, _ = blocks_of("<body><p>Some text, some more.</p><ul><li><a>link</a></li></ul></body>")
     scores = path_scores(blocks)
