@@ -17,8 +17,12 @@ from tokenizers import Tokenizer
 
 from stridegrid.llm.common import small, staged
 
-#: Queues of their own; sources beyond share one more.
+#: Queues of the outer schedule; sources beyond have theirs in schedules nested in one more.
 QUEUES = 255
+#: Queues of a nested schedule, about.
+_FAN = 256
+#: Rounds that are looked at together, and nested schedules that a worker holds.
+_ROUNDS, _PLANS = 8192, 512
 #: Weights of the queues served in a round add up to 2**WEIGHT_BITS.
 WEIGHT_BITS = 20
 #: Entries of a generation of the word table of a worker; two generations are held.
@@ -207,8 +211,12 @@ def pieces_of(
     """
     rows, starts, lengths, places = [], [], [], []
     end = start + size
+    if not len(start):
+        phases = []
     for i, phase in enumerate(phases):
         low = int(phase.given[queue])
+        if low >= end.max():
+            break
         high = int(phases[i + 1].given[queue]) if i + 1 < len(phases) else low + int(phase.left[queue])
         a, b = np.maximum(start, low) - low, np.minimum(end, high) - low
         here = np.flatnonzero(a < b)
@@ -216,23 +224,92 @@ def pieces_of(
             continue
         a, b = a[here], b[here]
         w, c = int(phase.weight[queue]), int(phase.credit[queue])
-        first = -(-(((a + 1) << phase.shift) - c) // w)
-        count = -(-((b << phase.shift) - c) // w) - first + 1
-        row = np.repeat(np.arange(len(here)), count)
-        rounds = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        before, after = phase.served(rounds - 1), phase.served(rounds)
-        own = before[:, queue]
-        s, e = np.maximum(a[row], own), np.minimum(b[row], after[:, queue])
-        place = phase.at + before.sum(axis=1) + (after[:, :queue] - before[:, :queue]).sum(axis=1) + (s - own)
-        keep = e > s
-        rows.append(here[row[keep]])
-        starts.append(s[keep] + low)
-        lengths.append((e - s)[keep])
-        places.append(place[keep])
+        once = w < 1 << phase.shift  # a round gives at most one token: only rounds that give one count
+        first = a if once else -(-(((a + 1) << phase.shift) - c) // w)
+        count = b - a if once else -(-((b << phase.shift) - c) // w) - first + 1
+        until = np.cumsum(count)
+        for at in range(0, int(until[-1]), _ROUNDS):
+            nth = np.arange(at, min(at + _ROUNDS, int(until[-1])))
+            row = np.searchsorted(until, nth, side="right")
+            rounds = first[row] + nth - (until - count)[row]
+            if once:
+                rounds = -(-(((rounds + 1) << phase.shift) - c) // w)
+            before, after = phase.served(rounds - 1), phase.served(rounds)
+            own = before[:, queue]
+            s, e = np.maximum(a[row], own), np.minimum(b[row], after[:, queue])
+            place = phase.at + before.sum(axis=1) + (after[:, :queue] - before[:, :queue]).sum(axis=1) + (s - own)
+            keep = e > s
+            rows.append(here[row[keep]])
+            starts.append(s[keep] + low)
+            lengths.append((e - s)[keep])
+            places.append(place[keep])
     none = [np.zeros(0, np.int64)]
     return tuple(np.concatenate(none + x) for x in (rows, starts, lengths, places))
 
 
+@dataclass
+class Nested:
+    """Schedules of the sources beyond the outer queues, nested in one queue.
+
+    Sources stand in groups of about ``fan``, groups in groups of that many
+    groups, up to one. A group is a schedule like the outer one, of its members
+    by size; a round of it has about the tokens it is given in a window, or a
+    quarter of them where groups stand in groups, so that a window has whole
+    rounds of the lowest too.
+    ``totals``: of the sources, by group; ``bounds``: where groups begin in
+    ``totals``; ``levels``: totals of the groups of each level, lowest first.
+    """
+
+    totals: np.ndarray
+    bounds: np.ndarray
+    levels: list[np.ndarray]
+    window: float
+    fan: int
+
+    @classmethod
+    def of(cls, group: np.ndarray, totals: np.ndarray, groups: int, window: float, fan: int = _FAN) -> Nested:
+        """``group`` is ascending."""
+        bounds = np.searchsorted(group, np.arange(groups + 1))
+        sums = np.concatenate(([0], np.cumsum(totals)))
+        levels = [sums[bounds[1:]] - sums[bounds[:-1]]]
+        while len(levels[-1]) > 1:
+            below = levels[-1]
+            levels.append(np.add.reduceat(below, np.arange(0, len(below), fan)))
+        return cls(totals, bounds, levels, window if len(levels) == 1 else window / 4, fan)
+
+    def plan(self, level: int, group: int, made: dict) -> list[Phase]:
+        """The schedule of a group; ``made`` holds some of them."""
+        if (level, group) not in made:
+            if len(made) >= _PLANS:
+                made.clear()
+            if level:
+                below = self.levels[level - 1][group * self.fan : (group + 1) * self.fan]
+            else:
+                below = self.totals[self.bounds[group] : self.bounds[group + 1]]
+            given = self.window * self.levels[level][group] / self.levels[-1][0]
+            made[level, group] = schedule(below, below, 1 << (max(1, int(given)).bit_length() - 1))
+        return made[level, group]
+
+    def pieces(
+        self, group: np.ndarray, member: np.ndarray, start: np.ndarray, size: np.ndarray, made: dict
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As ``pieces_of``, with places in the queue that all of them share."""
+        doc, begin, length, place = np.arange(len(start)), start, size, start
+        for level in range(len(self.levels)):
+            order = np.lexsort((member, group))
+            cuts = np.flatnonzero(np.diff(group[order]) | np.diff(member[order])) + 1
+            parts = []
+            for own in np.split(order, cuts) if len(order) else []:
+                phases = self.plan(level, int(group[own[0]]), made)
+                run, s, k, g = pieces_of(phases, int(member[own[0]]), place[own], length[own])
+                run = own[run]
+                parts.append((doc[run], begin[run] + s - place[run], k, g, group[run]))
+            none = [(np.zeros(0, np.int64),) * 5]
+            doc, begin, length, place, group = (np.concatenate(x) for x in zip(*(none + parts), strict=True))
+            group, member = group // self.fan, group % self.fan
+        return doc, begin, length, place
+
+
 def windowed(place: np.ndarray, length: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs cut at the ends of sequences: the run of every piece, its place and length; ``edges``: ends, ascending."""
     stop = edges[np.searchsorted(edges, place, side="right")]
@@ -314,6 +391,7 @@ def pack(
     end_id: int = 2,
     targets: dict[str, float] | None = None,
     queues: int = QUEUES,
+    fan: int = _FAN,
 ) -> DataFrame:
     """Pack every token of every document into sequences of ``window`` tokens.
 
@@ -321,9 +399,11 @@ def pack(
     proportions ``targets`` (sources not named share what is left by size; by
     default each source's share of all tokens), as long as its queue lasts, and
     carries the deficits over windows, partitions and tasks: the schedule is a
-    closed form of the totals of at most ``queues`` + 1 queues (sources beyond
-    the largest share one queue), so nothing else is gathered. Tokens after the
-    last full window form sequences of powers of two; nothing is padded.
+    closed form of the totals. The ``queues`` largest sources and those named in
+    ``targets`` are queues of the outer schedule; all others are queues of
+    schedules of about ``fan`` nested in one more (``Nested``). Only the total of every source
+    is gathered, in 20 bytes each. Tokens after the last full window form
+    sequences of powers of two; nothing is padded.
 
     Returns a row per piece: key, ``start``, ``length``, ``doc_tokens``,
     ``sequence_id``, ``offset`` and ``ids`` (little-endian unsigned 32-bit).
@@ -333,9 +413,15 @@ def pack(
     tokens = token_table(docs, tokenizer, key=key, text=text, source=source, end_id=end_id)
     by_part = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
     by_part = staged(by_part, "token-counts")
-    sizes = by_part.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source")
-    named = sizes.limit(queues).collect()
-    rest = (by_part.agg(F.sum("n")).first()[0] or 0) - sum(r["n"] for r in named)
+    sizes = staged(by_part.groupBy("source").agg(F.sum("n").alias("n")), "source-sizes")
+    spark = docs.sparkSession
+    named = sizes.orderBy(F.desc("n"), "source").limit(queues).collect()
+    if targets:
+        asked = spark.createDataFrame([(s,) for s in targets], "source string")
+        have = {r["source"] for r in named}
+        named += sorted(r for r in sizes.join(F.broadcast(asked), "source", "left_semi").collect() if r["source"] not in have)
+    number = spark.createDataFrame([(r["source"], i) for i, r in enumerate(named)], "source string, queue int")
+    rest = (sizes.agg(F.sum("n")).first()[0] or 0) - sum(r["n"] for r in named)
     totals = [r["n"] for r in named] + [rest]
     total = sum(totals)
     wish = [float(n) for n in totals]
@@ -348,29 +434,48 @@ def pack(
         wish = [max(w, 1e-9) for w in wish]
     phases = schedule(totals, wish, window) if total else []
     edges = tail_edges(total, window)
-    spark = docs.sparkSession
-    number = spark.createDataFrame([(r["source"], i) for i, r in enumerate(named)], "source string, queue int")
-    ahead = W.partitionBy("queue").orderBy("part", "source").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        by_part.join(F.broadcast(number), "source", "left")
-        .withColumn("queue", F.coalesce("queue", F.lit(len(named))))
-        .select("source", "part", "queue", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
-    )
+    ahead = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = by_part.select("source", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
+    offsets = offsets.join(F.broadcast(number), "source", "left")
+    nested = None
+    if rest:
+        others = sizes.join(F.broadcast(number), "source", "left_anti")
+        groups = -(-(sizes.count() - len(named)) // fan)
+        others = others.withColumn("group", F.pmod(F.xxhash64("source"), F.lit(groups)).cast("int"))
+        member = F.row_number().over(W.partitionBy("group").orderBy("source")) - 1
+        others = staged(others.withColumn("member", member), "nested-queues")
+        table = others.select("group", "member", "n").toArrow()
+        group, member, n = (table.column(x).to_numpy().astype(np.int64) for x in ("group", "member", "n"))
+        order = np.lexsort((member, group))
+        nested = Nested.of(group[order], n[order], groups, window * wish[-1] / sum(wish), fan)
+        offsets = offsets.join(small(others.select("source", "group", "member")), "source", "left")
+    else:
+        offsets = offsets.withColumn("group", F.lit(0)).withColumn("member", F.lit(0))
+    offsets = offsets.fillna({"queue": len(named), "group": 0, "member": 0})
     placed = tokens.join(small(staged(offsets, "queue-offsets")), ["source", "part"])
-    plan = spark.sparkContext.broadcast((phases, edges))
+    plan = spark.sparkContext.broadcast((phases, edges, nested))
+    last = len(named)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = word_cache(tokenizer).dtype
-        own_phases, own_edges = plan.value
+        own_phases, own_edges, own_nested = plan.value
+        made: dict = {}
         full = total // window * window
         for batch in batches:
             keys = batch.column("_key")
-            queue, base, before, n = (batch.column(x).to_numpy() for x in ("queue", "base", "before", "n"))
+            queue, group, member, base, before, n = (
+                batch.column(x).to_numpy().astype(np.int64) for x in ("queue", "group", "member", "base", "before", "n")
+            )
             at = base + before
             docs_, starts, lengths, places = [], [], [], []
             for q in np.unique(queue).tolist():
                 own = np.flatnonzero(queue == q)
-                doc, s, k, g = pieces_of(own_phases, q, at[own], n[own])
+                if q < last:
+                    doc, s, k, g = pieces_of(own_phases, q, at[own], n[own])
+                else:
+                    inner, begun, size, place = own_nested.pieces(group[own], member[own], at[own], n[own], made)
+                    run, s, k, g = pieces_of(own_phases, q, place, size)
+                    doc, s = inner[run], begun[run] + s - place[run]
                 docs_.append(own[doc])
                 starts.append(s - at[own[doc]])
                 lengths.append(k)

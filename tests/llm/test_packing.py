@@ -7,7 +7,7 @@ from edges import edge_docs, no_docs
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stridegrid.llm.packing import WordCache, pack, pieces_of, schedule, tail_edges, windowed
+from stridegrid.llm.packing import Nested, WordCache, pack, pieces_of, schedule, tail_edges, windowed
 from stridegrid.llm.queries import TOKENIZER
 
 
@@ -100,3 +100,45 @@ def test_targets_and_shared_queue(spark):
     source = {i: s for i, _, s in rows}
     first = [sum(r.length for r in got if r.sequence_id == w and source[r.doc_id] == "s1") for w in range(4)]
     assert all(abs(x - 64) <= 9 for x in first)  # a window may begin within a round
+
+
+def test_small_source_named_in_targets_is_a_queue(spark):
+    rows = [(i, f"word{i} " * 9, "tiny" if i % 40 == 0 else f"s{i % 5}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    got = checked(docs, 128, targets={"tiny": 0.5}, queues=2)
+    source = {i: s for i, _, s in rows}
+    first = [sum(r.length for r in got if r.sequence_id == w and source[r.doc_id] == "tiny") for w in range(2)]
+    assert all(abs(x - 64) <= 9 for x in first)
+
+
+@pytest.mark.parametrize("fan", [256, 4])
+def test_sources_beyond_the_outer_queues_keep_their_share(spark, fan):
+    rows = [(i, "word and more text " * 8, f"s{i % 40}") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    got = checked(docs, 1024, queues=3, fan=fan)
+    source = {i: s for i, _, s in rows}
+    total, windows = sum(r.length for r in got), sum(r.length for r in got) // 1024
+    share = 1024 / 40
+    have = {}
+    for r in got:
+        have[source[r.doc_id], r.sequence_id] = have.get((source[r.doc_id], r.sequence_id), 0) + r.length
+    # of a queue's own rounds one may fall on each side of a window
+    for w in range(windows - 2):
+        for i in range(40):
+            assert abs(sum(have.get((f"s{i}", v), 0) for v in range(w + 1)) - share * (w + 1)) < 2 * share, (i, w)
+            assert have.get((f"s{i}", w), 0) > 0
+    assert total == sum(have.values())
+
+
+def test_nested_schedules_give_every_token_one_place():
+    rng = np.random.default_rng(5)
+    for groups in (1, 3, 700):
+        group = np.sort(rng.integers(0, groups, 900))
+        totals = rng.integers(1, 60, 900)
+        nested = Nested.of(group, totals, groups, 40.0, 16)
+        member = np.arange(900) - nested.bounds[group]
+        doc, start, length, place = nested.pieces(group, member, np.zeros(900, np.int64), totals, {})
+        assert (np.bincount(doc, length, 900) == totals).all()
+        order = np.argsort(place)
+        assert place[order[0]] == 0 and (place[order][1:] == (place + length)[order][:-1]).all()
+        assert (place + length).max() == totals.sum()
