@@ -41,9 +41,20 @@ def spread_pick(
 
 def scan_times(
     ranges: DataFrame, keys: list[str], budget: int, step: float = 0.0,
-    preferred: DataFrame | None = None,
+    preferred: DataFrame | None = None, ends: DataFrame | None = None,
 ) -> DataFrame:
-    """Times to probe: the preferred ones, else a grid over the kept ranges."""
+    """Times to probe: the preferred ones, else a grid over the kept ranges.
+
+    ``ends``: keys, end_sec of the video; a range without end reaches to it. A
+    range without end of a key that has none there is an error.
+    """
+    known = F.lit(None).cast("double")
+    if ends is not None:
+        last = ends.groupBy(*keys).agg(F.max("end_sec").cast("double").alias("_last"))
+        ranges, known = ranges.join(last, keys, "left"), F.col("_last")
+    unknown = F.raise_error("a range without end, and the end of its video is not known").cast("double")
+    end = F.coalesce(F.col("end_sec"), known, F.when(F.col("start_sec").isNotNull(), unknown))
+    ranges = ranges.select(*keys, "start_sec", end.alias("end_sec"))
     total = ranges.groupBy(*keys).agg(
         F.sum(F.greatest(F.lit(0.0), F.col("end_sec") - F.col("start_sec"))).alias("_kept")
     )
