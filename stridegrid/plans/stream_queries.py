@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stridegrid.plans.registry import STATUS, query
 from stridegrid.sources import adapters as A
+from stridegrid.sources.writers import shared_folder
 from stridegrid.streaming import live as L
 
 
@@ -39,6 +40,13 @@ def live_progress(spark, sf):
 
 @query("deduplicated_frames", "T7", """SELECT user_id AS run_id, event_id, event_type FROM events""")
 def deduplicated_frames(spark, sf):
-    e = A.table(spark, sf, "events").select(F.col("user_id").alias("run_id"), "event_id", "event_type")
-    again = e.where("event_id % 3 = 0")
-    return e.unionByName(again).dropDuplicates(["run_id", "event_id"])
+    kind = A.table(spark, sf, "events").schema
+    # a pattern, as a stream reads folders or patterns
+    stream = spark.readStream.schema(kind).parquet(f"{sf}/[e]vents.parquet")
+    e = stream.select(F.col("user_id").alias("run_id"), "event_id", "event_type", F.col("ts").cast("timestamp"))
+    once = L.late_frames(e.unionByName(e.where("event_id % 3 = 0")), ["run_id", "event_id"])
+    path, checkpoint = shared_folder(spark, "frames"), shared_folder(spark, "frames-state")
+    rows = once.select("run_id", "event_id", "event_type")
+    writing = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    writing.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(path)

@@ -16,22 +16,32 @@ from stridegrid.operators.tracking import track_ids
 from stridegrid.streaming.identity import TrackTable
 
 
+def _millis(at) -> int:
+    """A time as milliseconds, rounded up; a row without time waits for nothing."""
+    return 0 if pd.isna(at) else -(-pd.Timestamp(at).value // 1_000_000)
+
+
 class _Kept(StatefulProcessor):
     """Keeps one pickled state per key; rows are fed in frame order.
 
+    With ``time`` all rows wait in the state, in any order, until the watermark
+    passes them; then frames up to the newest one it has passed are closed in
+    frame order, by an event-time timer where no further row comes.
     With ``split_frames`` the newest frame stays open: its rows are kept in the
     state until a later frame arrives, so a frame may be split over
     micro-batches; a last row of a later frame closes a video.
-    Without, a micro-batch must hold whole frames. Rows of frames that are
-    closed come too late and are left out, as an id is never rewritten.
+    Without either, a micro-batch must hold whole frames. Rows of frames that
+    are closed come too late: an id is never rewritten, so they are put out
+    with nulls.
     """
 
     frame = "frame"
 
-    def __init__(self, split_frames: bool = False):
-        self.split_frames = split_frames
+    def __init__(self, split_frames: bool = False, time: str | None = None):
+        self.split_frames, self.time = split_frames, time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.slot = handle.getValueState("state", T.StructType([T.StructField("blob", T.BinaryType())]))
 
     def _load(self):
@@ -39,13 +49,22 @@ class _Kept(StatefulProcessor):
         return pickle.loads(bytes(self.slot.get()[0])) if self.slot.exists() else (None, None, None)
 
     def _close(self, last, state, rows: pd.DataFrame, open_rows: pd.DataFrame | None) -> Iterator[pd.DataFrame]:
-        out = None
+        late = rows[self.frame] <= last if last is not None else pd.Series(False, index=rows.index)
+        out = [rows[late][self.names].reset_index(drop=True)] if late.any() else []
+        rows = rows[~late]
         if len(rows):
-            state, out = self.feed(state, rows.reset_index(drop=True))
+            state, fed = self.feed(state, rows.reset_index(drop=True))
+            out.append(fed)
             last = int(rows[self.frame].max())
         self.slot.update((pickle.dumps((last, open_rows, state)),))
-        if out is not None:
-            yield out
+        for part in out:
+            yield part.reindex(columns=self.columns)
+
+    def _ripe(self, pdf: pd.DataFrame, watermark: int) -> pd.Series:
+        """Rows of frames up to the newest that the watermark has passed."""
+        ms = pdf[self.time].map(_millis)
+        newest = pdf[self.frame].where(ms.groupby(pdf[self.frame]).transform("max") <= watermark).max()
+        return pdf[self.frame] <= newest
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last, open_rows, state = self._load()
@@ -53,61 +72,92 @@ class _Kept(StatefulProcessor):
         if not parts:
             return
         pdf = pd.concat(parts, ignore_index=True).sort_values(self.order, kind="stable")
-        if last is not None:
-            pdf = pdf[pdf[self.frame] > last]
         open_rows = None
-        if self.split_frames and len(pdf):
+        if self.time is not None:
+            ripe = self._ripe(pdf, timerValues.getCurrentWatermarkInMs())
+            if last is not None:
+                ripe |= pdf[self.frame] <= last
+            pdf, open_rows = pdf[ripe], pdf[~ripe]
+            for at in sorted(set(open_rows[self.time].map(_millis))):
+                self.handle.registerTimer(at)
+        elif self.split_frames:
             newest = pdf[self.frame] == pdf[self.frame].max()
+            if last is not None:
+                newest &= pdf[self.frame] > last
             pdf, open_rows = pdf[~newest], pdf[newest]
         yield from self._close(last, state, pdf, open_rows)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last, open_rows, state = self._load()
+        if open_rows is None or not len(open_rows):
+            return
+        ripe = self._ripe(open_rows, timerValues.getCurrentWatermarkInMs())
+        if ripe.any():
+            yield from self._close(last, state, open_rows[ripe], open_rows[~ripe])
+
     def close(self) -> None:
         pass
 
 
 class TrackProcessor(_Kept):
     order = ["frame", "det_id"]
+    names = ["video_id", "frame", "det_id"]
+    columns = [*names, "track_id"]
 
     def feed(self, book: TrackTable | None, pdf: pd.DataFrame):
         book = TrackTable() if book is None else book
-        return book, pdf[["video_id", "frame", "det_id"]].assign(track_id=track_ids(book, pdf))
+        return book, pdf[self.names].assign(track_id=track_ids(book, pdf))
 
 
 class LockProcessor(_Kept):
     frame = "frame_index"
     order = ["frame_index"]
+    names = ["run_id", "frame_index"]
+    columns = [*names, *OUT.names]
 
-    def __init__(self, width: float, height: float, split_frames: bool = False):
-        super().__init__(split_frames)
+    def __init__(self, width: float, height: float, split_frames: bool = False, time: str | None = None):
+        super().__init__(split_frames, time)
         self.width, self.height = width, height
 
     def feed(self, lock, pdf: pd.DataFrame):
         lock, out = advance_rows(lock, pdf, self.width, self.height)
-        return lock, pd.concat([pdf[["run_id", "frame_index"]], out], axis=1)
+        return lock, pd.concat([pdf[self.names], out], axis=1)
 
 
-def track_stream(dets: DataFrame, split_frames: bool = False) -> DataFrame:
+def track_stream(
+    dets: DataFrame, split_frames: bool = False, time: str | None = None, wait: str = "10 seconds"
+) -> DataFrame:
     """Live ids; ``dets``: video_id, frame, det_id, corners, optional emb, scene_change.
 
-    Without ``split_frames`` a micro-batch holds any number of whole frames of a
-    video; with it a frame may be split (see ``_Kept``).
+    With ``time``, a timestamp column, frames may be split and come in any order
+    within ``wait``, and the last frame is closed by the watermark. Without, a
+    micro-batch holds any number of whole frames of a video, or with
+    ``split_frames`` a frame may be split (see ``_Kept``).
     """
+    dets = dets if time is None else dets.withWatermark(time, wait)
     schema = "video_id long, frame long, det_id long, track_id long"
     return dets.groupBy("video_id").transformWithStateInPandas(
-        TrackProcessor(split_frames), outputStructType=schema, outputMode="append", timeMode="none"
+        TrackProcessor(split_frames, time),
+        outputStructType=schema,
+        outputMode="append",
+        timeMode="none" if time is None else "eventTime",
     )
 
 
-def lock_stream(frames: DataFrame, width: float, height: float, split_frames: bool = False) -> DataFrame:
-    """Live lock; columns as in the batch operator."""
+def lock_stream(
+    frames: DataFrame, width: float, height: float, split_frames: bool = False,
+    time: str | None = None, wait: str = "10 seconds",
+) -> DataFrame:
+    """Live lock; columns as in the batch operator, ``time`` and ``wait`` as in ``track_stream``."""
+    frames = frames if time is None else frames.withWatermark(time, wait)
     schema = T.StructType(
         [T.StructField("run_id", T.LongType()), T.StructField("frame_index", T.LongType()), *OUT.fields]
     )
     return lock_evidence(frames, width, height).groupBy("run_id").transformWithStateInPandas(
-        LockProcessor(width, height, split_frames),
+        LockProcessor(width, height, split_frames, time),
         outputStructType=schema,
         outputMode="append",
-        timeMode="none",
+        timeMode="none" if time is None else "eventTime",
     )
 
 
