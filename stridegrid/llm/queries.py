@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stridegrid.llm.circulant_minhash import minhash_components
 from stridegrid.llm.common import held_out
 from stridegrid.llm.decontaminate import decontaminate, judged
 from stridegrid.llm.html_text import extract_text
@@ -232,6 +233,32 @@ SELECT page_id, host, path, rule, coalesce(own.verdict, said.said, 'allow') AS v
 FROM (SELECT *, {_node_sql("url")} AS node FROM page) LEFT JOIN own USING (n) LEFT JOIN said USING (node)
 """
 
+
+
+def op11_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 2-word shingle sets are 80 percent alike, and which row of each is kept."""
+    return minhash_components(_table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+OP11_SQL = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+gram AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 1) + 1)) AS i FROM doc WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM gram x JOIN gram y ON x.g = y.g AND x.doc_id <> y.doc_id
+  GROUP BY ALL),
+link AS (SELECT a, b FROM shared JOIN size x ON a = x.doc_id JOIN size y ON b = y.doc_id
+  WHERE 100 * k >= 80 * (x.n + y.n - k)),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id,
+  least(doc_id, coalesce(b, doc_id)) = doc_id AS kept
+FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN least ON a = doc_id
+"""
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
@@ -243,10 +270,12 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
+    "op11_circulant_minhash": op11_circulant_minhash,
 }
 ORACLES = {
     "op4_exact_topk": OP4_SQL,
     "op5_url_filter": OP5_SQL,
     "op6_jaccard_join": OP6_SQL,
     "op9_decontaminate": OP9_SQL,
+    "op11_circulant_minhash": OP11_SQL,
 }
