@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -258,58 +258,72 @@ def _tile_links(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(join, "a bigint, b bigint")
 
 
-def _solved(members: DataFrame, elements: DataFrame, percent: int, across: bool) -> DataFrame:
-    """Links of sets that share a bucket; ``members``: (token, sid, n, grp), staged.
+def _blocked(members: DataFrame) -> DataFrame:
+    """``members`` with the block of every set: sets that meet in many buckets mostly share one of bounded size."""
+    leads = members.groupBy("token").agg(F.min("sid").alias("lead"))
+    blocks = staged(_blocks(members.join(leads, "token").select("lead", "sid", "n"), rounds=2), "blocks")
+    return staged(members.join(blocks, "sid"), "members-in-blocks")
+
+
+def _solved(members: DataFrame, elements: DataFrame, percent: int, own: bool, across: bool) -> DataFrame:
+    """Links of sets that share a bucket; ``members``: (token, sid, n, grp, block), staged.
 
-    Sets that meet in many buckets mostly share a block of bounded size. Without
-    ``across`` blocks meet themselves only, with it also all others they share a
-    bucket with.
+    ``own``: blocks meet themselves; ``across``: they meet all others they share
+    a bucket with.
     """
-    leads = members.groupBy("token").agg(F.min("sid").alias("lead"))
-    blocks = staged(_blocks(members.join(leads, "token").select("lead", "sid", "n")), "blocks")
-    held = members.groupBy("sid").agg(F.min("grp").alias("grp"), F.collect_set("token").alias("tokens"))
-    held = staged(held.join(blocks, "sid"), "members-of-blocks")
-    places = held.select("sid", "grp", "tokens", F.col("block").alias("ta"), F.col("block").alias("tb"), F.lit(0).alias("side"))
+    held = members.groupBy("sid", "block").agg(F.min("grp").alias("grp"), F.collect_set("token").alias("tokens"))
+    held = staged(held, "sets-in-blocks")
+    at = lambda rows, side, ta, tb: rows.select(
+        "sid", "grp", "tokens", F.col(ta).alias("ta"), F.col(tb).alias("tb"), F.lit(side).alias("side")
+    )
+    parts = [at(held, 0, "block", "block")] if own else []
     if across:
-        in_block = staged(members.join(blocks, "sid").select("token", "block").distinct(), "token-blocks")
+        in_block = staged(members.select("token", "block").distinct(), "token-blocks")
         tiles = in_block.withColumnRenamed("block", "ta").join(in_block.withColumnRenamed("block", "tb"), "token")
         tiles = staged(tiles.where("ta < tb").select("ta", "tb").distinct(), "tiles")
-        for side, mine in ((0, "ta"), (1, "tb")):
-            more = held.join(tiles, F.col("block") == F.col(mine)).select(
-                "sid", "grp", "tokens", "ta", "tb", F.lit(side).alias("side")
-            )
-            places = places.union(more)
+        parts += [at(held.join(tiles, held["block"] == tiles[mine]), side, "ta", "tb") for side, mine in ((0, "ta"), (1, "tb"))]
+    places = reduce(DataFrame.union, parts)
     return staged(_tile_links(places.join(elements, "sid"), percent), "links")
 
 
-def _open(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``members`` of buckets that hold sets of several groups so far, with these groups."""
-    tied = components(links).select(F.col("node").alias("sid"), "component")
-    rows = members.join(tied, "sid", "left").select("token", "sid", "n", F.coalesce("component", "sid").alias("grp"))
-    rows = staged(rows, "grouped")
-    mixed = rows.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi")
+def _open(members: DataFrame, tied: DataFrame) -> DataFrame:
+    """``members`` of buckets that hold several groups in several blocks, with their groups so far."""
+    rows = members.drop("grp").join(tied, "sid", "left")
+    rows = staged(rows.select("token", "sid", "n", "block", F.coalesce("component", "sid").alias("grp")), "grouped")
+    spread = [f(c).alias(f"{x}_{c}") for c in ("grp", "block") for x, f in (("lo", F.min), ("hi", F.max))]
+    mixed = rows.groupBy("token").agg(*spread).where("lo_grp <> hi_grp AND lo_block <> hi_block")
     return staged(rows.join(mixed.select("token"), "token", "left_semi"), "open")
 
 
-def minhash_links(docs: DataFrame, sets: DataFrame, *, words: int, percent: int) -> DataFrame:
-    """Links (a, b) of different sets; every linked pair that shares a band is joined by a path of them.
+def minhash_groups(docs: DataFrame, sets: DataFrame, *, words: int, percent: int) -> DataFrame:
+    """(sid, component) of every set that links with another one that shares a band with it.
 
     Three rounds keep large groups linear: blocks of sets solve themselves;
-    then one set of each group found stands for it in every bucket; then all
-    sets of the buckets that still hold several groups meet.
+    then one set of each group found stands for it in every bucket that is
+    still open; then blocks meet that share an open bucket where a group has
+    more sets than this one.
     """
     members = staged(_members(_band_rows(sets)).withColumn("grp", F.col("sid")), "members")
     elements = _elements(docs, sets, members, words)
-    links = _solved(members, elements, percent, across=False)
-    rest = _open(members, links)
-    if rest.isEmpty():
-        return links
-    named = rest.groupBy("token", "grp").agg(F.min(F.struct("sid", "n")).alias("s")).select("token", "s.sid", "s.n", "grp")
-    links = links.union(_solved(staged(named, "named"), elements, percent, across=True))
-    rest = _open(members, links)
-    if rest.isEmpty():
-        return links
-    return links.union(_solved(rest, elements, percent, across=True))
+    members = _blocked(members)
+    links = _solved(members, elements, percent, own=True, across=False)
+
+    def tied() -> DataFrame:
+        return components(links).withColumnRenamed("node", "sid")
+
+    groups = tied()
+    rest = _open(members, groups)
+    if not rest.isEmpty():
+        named = rest.groupBy("token", "grp").agg(F.min(F.struct("sid", "n")).alias("s")).select("token", "s.*", "grp")
+        links = links.union(_solved(_blocked(staged(named, "named")), elements, percent, own=True, across=True))
+        groups = tied()
+        rest = _open(rest, groups)
+        held = rest.groupBy("token").agg(F.count("*").alias("rows"), F.count_distinct("grp").alias("groups"))
+        rest = staged(rest.join(held.where("rows > groups").select("token"), "token", "left_semi"), "still-open")
+    if not rest.isEmpty():
+        links = links.union(_solved(rest, elements, percent, own=False, across=True))
+        groups = tied()
+    return groups
 
 
 def minhash_components(
@@ -335,9 +349,8 @@ def minhash_components(
         F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_tid")
     )
     sets = staged(_signed(rows, words), "signed-sets")
-    links = minhash_links(rows, sets, words=words, percent=percent)
+    tied = minhash_groups(rows, sets, words=words, percent=percent)
     least = sets.where("sid <> 0").groupBy("sid").agg(F.min("_key").alias("least"), F.count("*").alias("rows"))
-    tied = components(links).withColumnRenamed("node", "sid")
     least = staged(least.join(tied, "sid", "left").where("component IS NOT NULL OR rows > 1"), "least-keys")
     names = least.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("name"))
     named = least.join(small(staged(names, "names")), "component", "left")
