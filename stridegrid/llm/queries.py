@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stridegrid.llm.circulant_minhash import minhash_components
+from stridegrid.llm.collocations import collocations
 from stridegrid.llm.common import held_out
 from stridegrid.llm.decontaminate import decontaminate, judged
 from stridegrid.llm.html_text import extract_text
@@ -259,6 +260,40 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(b, d
 FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN least ON a = doc_id
 """
 
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest phrases of 2 to 5 words of every language."""
+    return collocations(_table(spark, sf_dir, "documents"), most=5, least=100, top=2000)
+
+
+OP12_SQL = r"""
+WITH piece AS (
+  SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM piece GROUP BY lang),
+f AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM piece, range(1, 6) AS s(k) WHERE len(w) >= k)
+  GROUP BY ALL HAVING count(*) >= 100),
+cand AS (
+  SELECT lang, k, phrase, f AS a FROM f AS x WHERE k > 1 AND NOT EXISTS (
+    SELECT 1 FROM f AS y WHERE y.lang = x.lang AND y.k > x.k AND y.f >= x.f
+      AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' '))),
+cut AS (
+  SELECT c.lang, c.phrase, c.a, j, l.f AS l, r.f AS r, n,
+    ((1000::HUGEINT * c.a * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS j FROM cand) AS c
+  JOIN f AS l ON l.lang = c.lang AND l.phrase = array_to_string(w[1 : j], ' ')
+  JOIN f AS r ON r.lang = c.lang AND r.phrase = array_to_string(w[j + 1 : ], ' ')
+  JOIN total AS t ON t.lang = c.lang),
+best AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
@@ -271,6 +306,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
     "op11_circulant_minhash": op11_circulant_minhash,
+    "op12_collocations": op12_collocations,
 }
 ORACLES = {
     "op4_exact_topk": OP4_SQL,
@@ -278,4 +314,5 @@ ORACLES = {
     "op6_jaccard_join": OP6_SQL,
     "op9_decontaminate": OP9_SQL,
     "op11_circulant_minhash": OP11_SQL,
+    "op12_collocations": OP12_SQL,
 }
