@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from stridegrid.llm.circulant_minhash import minhash_components
 from stridegrid.llm.collocations import collocations
 from stridegrid.llm.common import held_out
+from stridegrid.llm.cover_tree import hard_negatives
 from stridegrid.llm.decontaminate import decontaminate, judged
 from stridegrid.llm.html_text import extract_text
 from stridegrid.llm.jaccard_join import jaccard_components
@@ -294,6 +295,34 @@ ranked AS (
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
 """
 
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other labels just below the positives of every fiftieth vector."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same,
+    list_sum(list_transform(list_zip(a.e, v.e), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v AS a JOIN v ON a.vec_id % 50 = 0 AND a.vec_id <> v.vec_id AND len(a.e) = len(v.e)),
+pos AS (
+  SELECT * FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+neg AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id)::INTEGER AS rank
+  FROM pos AS p JOIN scored AS n ON n.anchor_id = p.anchor_id AND NOT n.same
+    AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 3
+"""
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
@@ -307,6 +336,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_circulant_minhash": op11_circulant_minhash,
     "op12_collocations": op12_collocations,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLES = {
     "op4_exact_topk": OP4_SQL,
@@ -315,4 +345,5 @@ ORACLES = {
     "op9_decontaminate": OP9_SQL,
     "op11_circulant_minhash": OP11_SQL,
     "op12_collocations": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
