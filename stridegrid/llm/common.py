@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from functools import cache
+from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +68,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
         .limit(limit)
     )
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+
+
+@cache
+def one_blas_thread() -> None:
+    """Let this Python worker multiply matrices on one thread: a task is one core, and more threads wait for one another.
+
+    Workers fork with numpy loaded, too late for environment variables, so the
+    library that numpy brings is told. Without it nothing changes.
+    """
+    for library in (Path(np.__file__).parents[1] / "numpy.libs").glob("*openblas*"):
+        held = ctypes.CDLL(str(library))
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads"):
+            if hasattr(held, name):
+                getattr(held, name)(1)

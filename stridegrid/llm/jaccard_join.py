@@ -22,6 +22,8 @@ SKETCH_BITS, CHUNK_BITS = 22, 16
 BLOCK_SHINGLES, BLOCK_SETS = 1_000_000, 2_000
 #: Parts into which the sets of a very frequent shingle are dealt.
 SALTS = 64
+#: Rows of a run that are compared with all of its sets at once.
+_STRIP = 64
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -346,10 +348,11 @@ def _tile_links(sids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], rank
     pair = np.zeros((len(sets), len(sets)), bool)
     for r in runs.tolist():
         o, d = owner[edges[r] : edges[r + 1]], depth[edges[r] : edges[r + 1]]
-        left = n[o] - d
-        need = -(-percent * (n[o][:, None] + n[o][None, :]) // (100 + percent))
-        fits = np.minimum(left[:, None], left[None, :]) >= need
-        pair[o[:, None], o[None, :]] |= fits
+        size, left = n[o], n[o] - d
+        for s in range(0, len(o), _STRIP):
+            part = slice(s, s + _STRIP)
+            need = -(-percent * (size[part, None] + size[None, :]) // (100 + percent))
+            pair[o[part, None], o[None, :]] |= np.minimum(left[part, None], left[None, :]) >= need
     if two:
         pair &= side[:, None] != side[None, :]
     np.fill_diagonal(pair, False)

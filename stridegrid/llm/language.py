@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stridegrid.llm.common import labelled_sample
+from stridegrid.llm.common import labelled_sample, one_blas_thread
 from stridegrid.llm.quality import passages, text_bytes
 
 #: Bytes of a segment: the network runs over whole texts, segment by segment.
@@ -159,6 +159,7 @@ def fit_network(
     seed: int = 5,
 ) -> ByteNetwork:
     """Train on segments (steps, n) whose every position carries the language of its document."""
+    one_blas_thread()
     rng = np.random.default_rng(seed)
     k = len(languages)
     net = ByteNetwork(
@@ -247,6 +248,7 @@ def predict_language(docs: DataFrame, net: ByteNetwork | None, *, key: str = "do
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
         own = sent.value
         for batch in batches:
             column = batch.column("_text")
