@@ -17,6 +17,8 @@ from stridegrid.llm.common import staged
 MOST_BROADCAST = 2_000_000
 _MOST_BYTES = 64 << 20
 _HELD = 300_000
+#: Parts in which the phrases of a language are ranked before they meet.
+_PARTS = 64
 
 _TABLE = bytearray(range(256))
 _TABLE[0x41:0x5B] = bytes(range(0x61, 0x7B))
@@ -279,8 +281,10 @@ def collocations(docs: DataFrame, *, most: int = 5, least: int = 100, top: int =
     best = cuts.withColumn("score", score).groupBy("lang", "phrase", "a", "n").agg(
         F.min(F.struct("score", "cut", "l", "r")).alias("at")
     )
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = best.select("lang", "phrase", "a", "at.l", "at.r", "n", "at.score").withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= top).select(
+    ranked = best.select("lang", "phrase", "a", "at.l", "at.r", "n", "at.score")
+    for keys in (("lang", F.pmod(F.xxhash64("phrase"), F.lit(_PARTS))), ("lang",)):  # the first of each part, then of all
+        order = Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("a"), "phrase")
+        ranked = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return ranked.select(
         "lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score"
     )
