@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from stridegrid.operators.windows import linear_gap_fill, per_key, smooth_xy
 from stridegrid.plans.blocks import (
     RUNS, Line, _with_halo, affine_recurrence, for_python, neighbourhood, running, stateful_rows,
 )
+from stridegrid.plans.session import one_blas_thread
 
 ORDER = 4
 PAD = 3 * (ORDER + 1)
@@ -32,27 +34,62 @@ def lowpass_coefficients(fps: float, cutoff_hz: float) -> tuple[np.ndarray, np.n
     return b, a
 
 
-def _settled_state(b: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """Filter state that holds a constant input of one."""
-    n = len(a) - 1
-    companion = np.zeros((n, n))
-    companion[:, 0] = -a[1:]
-    companion[:-1, 1:] = np.eye(n - 1)
-    return np.linalg.solve(np.eye(n) - companion, b[1:] - a[1:] * b[0])
+#: Rows that one matrix product filters.
+CHUNK = 128
 
 
-def _run_filter(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """One pass over the rows of ``x`` (time by channel) from a settled start."""
-    z = np.outer(_settled_state(b, a), x[0])
-    y = np.empty_like(x)
-    b_tail, a_tail = b[1:, None], a[1:, None]
-    for i in range(len(x)):
-        y[i] = b[0] * x[i] + z[0]
-        z = b_tail * x[i] - a_tail * y[i] + np.vstack([z[1:], np.zeros((1, x.shape[1]))])
-    return y
+@dataclass(frozen=True)
+class ChunkFilter:
+    """A filter as a state-space system over chunks of rows.
 
+    With ``z' = A z + B x`` and ``y = b0 x + z[0]``, the outputs of a chunk are
+    ``response @ x + memory @ z`` and the next state is ``powered @ z + push @ x``;
+    powers of the companion matrix A give all four.
+    """
 
-def both_ways(b: np.ndarray, a: np.ndarray, x: np.ndarray, head: bool, tail: bool) -> np.ndarray:
+    response: np.ndarray
+    memory: np.ndarray
+    powered: np.ndarray
+    push: np.ndarray
+    settled: np.ndarray
+
+    @classmethod
+    def of(cls, b: np.ndarray, a: np.ndarray, rows: int = CHUNK) -> ChunkFilter:
+        n = len(a) - 1
+        companion = np.zeros((n, n))
+        companion[:, 0] = -a[1:]
+        companion[:-1, 1:] = np.eye(n - 1)
+        drive = b[1:] - a[1:] * b[0]
+        powers = [np.eye(n)]
+        for _ in range(rows):
+            powers.append(companion @ powers[-1])
+        memory = np.stack([p[0] for p in powers[:rows]])
+        impulse = np.concatenate(([b[0]], memory[: rows - 1] @ drive))
+        lag = np.subtract.outer(np.arange(rows), np.arange(rows))
+        return cls(
+            np.where(lag >= 0, impulse[np.abs(lag)], 0.0),
+            memory,
+            powers[rows],
+            np.stack([p @ drive for p in powers[:rows]][::-1], axis=1),
+            np.linalg.solve(np.eye(n) - companion, drive),
+        )
+
+    def run(self, x: np.ndarray) -> np.ndarray:
+        """One pass over the rows of ``x`` (time by channel) from a state that holds the first row."""
+        rows, n = len(self.response), len(x)
+        count = -(-n // rows)
+        chunks = np.concatenate((x, np.repeat(x[-1:], count * rows - n, axis=0))).reshape(count, rows, -1)
+        pushes = np.einsum("sr,krc->ksc", self.push, chunks, optimize=True)
+        z = np.outer(self.settled, x[0])
+        states = np.empty_like(pushes)
+        for k in range(count):
+            states[k] = z
+            z = self.powered @ z + pushes[k]
+        y = np.einsum("tr,krc->ktc", self.response, chunks, optimize=True) + self.memory @ states
+        return y.reshape(count * rows, -1)[:n]
+
+
+def both_ways(held: ChunkFilter, x: np.ndarray, head: bool, tail: bool) -> np.ndarray:
     """Forward and backward pass; real ends are extended by point reflection."""
     parts = [x]
     if head:
@@ -60,7 +97,7 @@ def both_ways(b: np.ndarray, a: np.ndarray, x: np.ndarray, head: bool, tail: boo
     if tail:
         parts.append(2 * x[-1] - x[-2 : -PAD - 2 : -1])
     ext = np.concatenate(parts)
-    y = _run_filter(b, a, _run_filter(b, a, ext)[::-1])[::-1]
+    y = held.run(held.run(ext)[::-1])[::-1]
     lead = PAD if head else 0
     return y[lead : lead + len(x)]
 
@@ -81,6 +118,7 @@ def zero_phase_lowpass(
     filter remembers, so blocks are independent and agree with one long pass.
     """
     b, a = lowpass_coefficients(fps, cutoff_hz)
+    chunked = ChunkFilter.of(b, a)
     halo = settle_rows(a) * 2 + PAD
     keys, pos, block = list(line.keys), line.pos, line.block
     counted = per_key(
@@ -108,7 +146,8 @@ def zero_phase_lowpass(
             return out
         at = pdf[pos].to_numpy()
         x = pdf[[f"_f_{c}" for c in usable]].to_numpy(dtype=float)
-        y = both_ways(b, a, x, at[0] == 0, at[-1] == last)[own]
+        one_blas_thread()
+        y = both_ways(chunked, x, at[0] == 0, at[-1] == last)[own]
         raw = pdf.loc[own, usable].to_numpy(dtype=float)
         y[~np.isfinite(raw)] = np.nan
         for i, c in enumerate(usable):

@@ -23,7 +23,7 @@ WIN = "PARTITION BY run_id ORDER BY frame_index"
 
 def _filter_sql() -> str:
     b, a = R.lowpass_coefficients(30.0, 6.0)
-    zi = R._settled_state(b, a)
+    zi = R.ChunkFilter.of(b, a).settled
     B, Z = [repr(float(v)) for v in b], [repr(float(v)) for v in zi]
     Ac = [repr(float(v)) for v in a]
 
