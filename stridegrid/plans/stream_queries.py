@@ -8,9 +8,72 @@ from stridegrid.plans.registry import STATUS, query
 from stridegrid.sources import adapters as A
 from stridegrid.sources.writers import shared_folder
 from stridegrid.streaming import live as L
+from stridegrid.streaming import sinks as K
+from stridegrid.streaming.anchors import anchor_stream
 
 
-@query("windowed_counts", "T8", """SELECT user_id AS run_id, epoch(date_trunc('hour', ts))::BIGINT AS window_start, count(*) AS n FROM events GROUP BY ALL""")
+_HOURS = """SELECT user_id AS run_id, epoch(date_trunc('hour', ts))::BIGINT AS window_start, count(*) AS n FROM events GROUP BY ALL"""
+_SESSIONS = """WITH g AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL OR epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) >= 7200 THEN 1 ELSE 0 END AS b FROM events),
+s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM g)
+SELECT user_id AS run_id, floor(epoch(min(ts)))::BIGINT AS first_seen, floor(epoch(max(ts)))::BIGINT AS last_seen, count(*) AS n FROM s GROUP BY user_id, sid"""
+
+
+def _event_stream(spark, sf, *columns):
+    """Events as a stream; a pattern, as a stream reads folders or patterns."""
+    held = A.table(spark, sf, "events")
+    stream = spark.readStream.schema(held.schema).parquet(f"{sf}/[e]vents.parquet")
+    return stream.select(*columns, F.col("ts").cast("timestamp"))
+
+
+def _closed(spark, stream, sf, after):
+    """The stream of events with a row that closes its windows."""
+    path = shared_folder(spark, "close")
+    rows = A.table(spark, sf, "events").withColumnRenamed("user_id", "run_id")
+    K.write_close(rows.select("run_id", F.col("ts").cast("timestamp").alias("ts")), path, "ts", after)
+    return K.with_close(stream, path)
+
+
+def _drained(spark, stream, name):
+    return K.drained(stream, shared_folder(spark, name), shared_folder(spark, f"{name}-state"))
+
+
+@query("windowed_stream", "T8", _HOURS)
+def windowed_stream(spark, sf):
+    e = _closed(spark, _event_stream(spark, sf, F.col("user_id").alias("run_id")), sf, "1 day")
+    out = _drained(spark, L.windowed_counts(e, ["run_id"], wait="10 minutes"), "windows")
+    return out.withColumn("window_start", F.unix_timestamp("window_start"))
+
+
+@query("session_stream", "T8", _SESSIONS)
+def session_stream(spark, sf):
+    e = _closed(spark, _event_stream(spark, sf, F.col("user_id").alias("run_id")), sf, "1 day")
+    out = _drained(spark, L.absence_sessions(e, ["run_id"], gap="2 hours", wait="10 minutes"), "sessions")
+    return out.withColumns({c: F.unix_timestamp(c) for c in ("first_seen", "last_seen")})
+
+
+@query("live_snapshot", "S14", """SELECT user_id AS run_id, event_type, count(*)::BIGINT AS "rows", min(event_id) AS first_event_id, max(event_id) AS last_event_id, arg_max(value, event_id) AS value FROM events GROUP BY ALL""")
+def live_snapshot(spark, sf):
+    held = A.table(spark, sf, "events")
+    stream = spark.readStream.schema(held.schema).parquet(f"{sf}/[e]vents.parquet")
+    rows = stream.select(F.col("user_id").alias("run_id"), "event_type", "event_id", "value")
+    path, keys = shared_folder(spark, "snapshot"), ["run_id", "event_type"]
+    K.write_snapshots(rows, keys, "event_id", path, shared_folder(spark, "snapshot-state")).awaitTermination()
+    return K.snapshot(spark.read.parquet(path), keys, "event_id")
+
+
+@query("anchor_stream", "T5", f"""WITH {STATUS}, nx AS (SELECT a.run_id, a.frame_index AS afr, min(s.frame_index) AS frame_index FROM status a JOIN status s ON s.run_id = a.run_id AND s.frame_index >= a.frame_index AND s.event_id % 2 = 0 WHERE a.ambiguous GROUP BY ALL),
+ls AS (SELECT run_id, frame_index, max(afr) AS anchor_frame FROM nx GROUP BY ALL)
+SELECT s.run_id, s.frame_index, ls.anchor_frame FROM status s LEFT JOIN ls USING (run_id, frame_index) WHERE s.event_id % 2 = 0""")
+def anchor_stream_query(spark, sf):
+    s = A.status(spark, sf)
+    path = shared_folder(spark, "frames")
+    s.where("event_id % 2 = 0").select("run_id", "frame_index").write.parquet(path)
+    stream = spark.readStream.schema("run_id bigint, frame_index bigint").parquet(path)
+    anchors = s.where("ambiguous").select("run_id", "frame_index", F.col("frame_index").alias("anchor_frame"))
+    return _drained(spark, anchor_stream(stream, anchors), "anchors")
+
+
+@query("windowed_counts", "T8", _HOURS)
 def windowed_counts(spark, sf):
     e = A.table(spark, sf, "events").withColumnRenamed("user_id", "run_id")
     return L.windowed_counts(e, ["run_id"]).withColumn("window_start", F.unix_timestamp("window_start"))
@@ -24,9 +87,7 @@ def sliding_counts(spark, sf):
     )
 
 
-@query("absence_sessions", "T8", """WITH g AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL OR epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) >= 7200 THEN 1 ELSE 0 END AS b FROM events),
-s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM g)
-SELECT user_id AS run_id, floor(epoch(min(ts)))::BIGINT AS first_seen, floor(epoch(max(ts)))::BIGINT AS last_seen, count(*) AS n FROM s GROUP BY user_id, sid""")
+@query("absence_sessions", "T8", _SESSIONS)
 def absence_sessions(spark, sf):
     e = A.table(spark, sf, "events").withColumnRenamed("user_id", "run_id")
     out = L.absence_sessions(e, ["run_id"], gap="2 hours")

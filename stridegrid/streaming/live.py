@@ -167,16 +167,24 @@ def late_frames(stream: DataFrame, keys: list[str], time: str = "ts", wait: str
 
 
 def windowed_counts(
-    df: DataFrame, keys: list[str], time: str = "ts", width: str = "1 hour", slide: str | None = None
+    df: DataFrame, keys: list[str], time: str = "ts", width: str = "1 hour", slide: str | None = None, wait: str | None = None
 ) -> DataFrame:
-    """Rows per window and key, tumbling or sliding."""
+    """Rows per window and key, tumbling or sliding, of a table or a stream.
+
+    A stream needs ``wait``: rows later than the watermark are left out, and a
+    window comes out once the watermark has passed its end.
+    """
+    df = df if wait is None else df.withWatermark(time, wait)
     win = F.window(time, width, slide) if slide else F.window(time, width)
     counted = df.groupBy(win.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
     return counted.select(*keys, F.col("w.start").alias("window_start"), "n")
 
 
-def absence_sessions(df: DataFrame, keys: list[str], time: str = "ts", gap: str = "10 minutes") -> DataFrame:
-    """Spans of sightings separated by pauses of at least ``gap``."""
+def absence_sessions(
+    df: DataFrame, keys: list[str], time: str = "ts", gap: str = "10 minutes", wait: str | None = None
+) -> DataFrame:
+    """Spans of sightings separated by pauses of at least ``gap``; ``wait`` as in ``windowed_counts``."""
+    df = df if wait is None else df.withWatermark(time, wait)
     win = F.session_window(time, gap)
     counted = df.groupBy(win.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.max(time).alias("last_seen"))
     return counted.select(*keys, F.col("w.start").alias("first_seen"), "last_seen", "n")
