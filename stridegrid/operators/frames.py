@@ -69,16 +69,34 @@ def normalize_frames(joined: DataFrame) -> DataFrame:
 
 
 def absent_records(frames: DataFrame, reason: str) -> DataFrame:
-    """Records of frames without a subject: no mesh, no joints, lost identity."""
+    """Records of frames without a subject: no mesh, no joints, and what the tracker still knows.
+
+    The last box is kept. Identity columns are read where ``frames`` has them;
+    without them, or where null, the status is ``reason``, the identity counts
+    as lost, no frame as lost so far, and nothing was scanned.
+    """
+    have = set(frames.columns)
+
+    def told(name: str, kind: str, default: object = None) -> Column:
+        return F.coalesce(F.col(name).cast(kind), F.lit(default).cast(kind)) if name in have else F.lit(default).cast(kind)
+
     return frames.select(
         "run_id",
         "frame_index",
+        told("video_frame", "long").alias("video_frame") if "video_frame" in have else F.col("frame_index").alias("video_frame"),
         F.lit(None).cast("string").alias("mesh_file"),
         F.lit(None).cast("array<array<double>>").alias("joints_cam"),
+        told("bbox", "array<double>").alias("bbox"),
         F.lit(False).alias("subject_present"),
         F.lit(reason).alias("inference_status"),
         F.lit(reason).alias("tracking_status"),
-        F.lit(True).alias("identity_is_lost"),
+        told("identity_status", "string", reason).alias("identity_status"),
+        told("identity_is_lost", "boolean", True).alias("identity_is_lost"),
+        told("identity_lost_frames", "int", 0).alias("identity_lost_frames"),
+        told("identity_appearance_similarity", "double").alias("identity_appearance_similarity"),
+        told("identity_stability_score", "double").alias("identity_stability_score"),
+        told("identity_reacquire_scanned", "boolean", False).alias("identity_reacquire_scanned"),
+        told("identity_reacquire_candidates", "int", 0).alias("identity_reacquire_candidates"),
     )
 
 

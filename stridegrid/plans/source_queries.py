@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stridegrid.functions.numbers import tidy
+from stridegrid.operators.frames import absent_records
 from stridegrid.operators.signals import to_long
-from stridegrid.plans.registry import BOXES, SERIES, SPANS, query, r
+from stridegrid.plans.registry import BOXES, SERIES, SPANS, STATUS, query, r
 from stridegrid.sources import adapters as A
 from stridegrid.sources import readers as RD
 from stridegrid.sources import writers as WR
@@ -176,6 +177,53 @@ def upsert_analysis(spark, sf):
     return WR.upsert_analysis(old, new)
 
 
+_NEW = """an AS (SELECT o_custkey AS run_id, 'a' || (o_orderkey % 5) AS analysis_id, max(strftime(o_orderdate, '%Y-%m-%d') || ' ' || o_orderkey) AS made FROM orders GROUP BY ALL),
+old AS (SELECT * FROM an WHERE analysis_id IN ('a0', 'a1', 'a2')), fresh AS (SELECT run_id, analysis_id, made || '+' AS made FROM an WHERE analysis_id IN ('a2', 'a3') AND run_id % 3 <> 0),
+all_ AS (SELECT run_id, analysis_id, made, 1 AS turn FROM fresh UNION ALL SELECT run_id, analysis_id, made, 0 FROM old WHERE NOT EXISTS (SELECT 1 FROM fresh WHERE fresh.run_id = old.run_id AND fresh.analysis_id = old.analysis_id))"""
+
+
+@query("recorded_analyses", "S11,S12", f"""WITH {_NEW}, g AS (SELECT run_id, list(analysis_id ORDER BY turn, made, analysis_id) AS ids, list(made ORDER BY turn, made, analysis_id) AS ats FROM all_ GROUP BY run_id)
+SELECT r.run_id, coalesce(len(ids), 0) AS analyses, coalesce(array_to_string(ids, ','), '') AS ids, ids[-1] AS latest_analysis_id, '{{"ok":"' || ats[-1] || '"}}' AS quality_summary, coalesce(ats[-1], 'start') AS updated_at, 'analysis/' || ids[-1] || '/qa.json' AS qa_file
+FROM (SELECT DISTINCT o_custkey AS run_id FROM orders) r LEFT JOIN g USING (run_id)""")
+def recorded_analyses(spark, sf):
+    o = A.table(spark, sf, "orders")
+    runs = o.select(F.col("o_custkey").alias("run_id")).distinct()
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    an = o.groupBy(
+        F.col("o_custkey").alias("run_id"), F.concat(F.lit("a"), (F.col("o_orderkey") % 5).cast("string")).alias("analysis_id")
+    ).agg(F.max(F.concat(day, F.lit(" "), F.col("o_orderkey").cast("string"))).alias("at"))
+
+    def entries(rows, at):
+        ok = F.concat(F.lit('{"ok":"'), at, F.lit('"}'))
+        return rows.select("run_id", "analysis_id", F.lit("gait").alias("preset"), at.alias("created_at"), F.lit("{}").alias("parameters"), ok.alias("qa_summary"))
+
+    path = WR.shared_folder(spark, "manifests")
+    WR.write_manifests(WR.run_manifests(runs, F.lit("start")), path)
+    WR.upsert_manifests(path, entries(an.where("analysis_id IN ('a0', 'a1', 'a2')"), F.col("at")))
+    WR.upsert_manifests(path, entries(an.where("analysis_id IN ('a2', 'a3') AND run_id % 3 <> 0"), F.concat("at", F.lit("+"))))
+    ids = F.col("analyses.analysis_id")
+    return spark.read.parquet(path).select(
+        "run_id", F.size("analyses").cast("long").alias("analyses"), F.array_join(ids, ",").alias("ids"), "latest_analysis_id",
+        "quality_summary", "updated_at", F.try_element_at("analyses", F.lit(-1))["artifacts"]["qa"].alias("qa_file"),
+    )
+
+
+@query("absent_records", "P7", f"""WITH {STATUS} SELECT run_id, frame_index, frame_index + 3 AS video_frame, NULL::VARCHAR AS mesh_file, false AS subject_present, 'subject_absent' AS inference_status, CASE WHEN event_id % 4 = 0 THEN 'subject_absent' ELSE 'lost' END AS identity_status, event_id % 5 <> 1 AS identity_is_lost, (event_id % 9)::INT AS identity_lost_frames, score AS identity_stability_score, score + 1 AS first_corner, 0::INT AS identity_reacquire_candidates FROM status WHERE NOT present""")
+def absent_records_query(spark, sf):
+    e = F.col("event_id")
+    s = A.status(spark, sf).where(~F.col("present")).select(
+        "run_id", "frame_index", (F.col("frame_index") + 3).alias("video_frame"), F.array("score", "score").alias("raw"),
+        F.when(e % 4 != 0, "lost").alias("identity_status"), (e % 5 != 1).alias("identity_is_lost"),
+        (e % 9).alias("identity_lost_frames"), F.col("score").alias("identity_stability_score"),
+    )
+    s = s.withColumn("bbox", F.transform("raw", lambda v: v + 1))
+    return absent_records(s, "subject_absent").select(
+        "run_id", "frame_index", "video_frame", "mesh_file", "subject_present", "inference_status", "identity_status",
+        "identity_is_lost", "identity_lost_frames", "identity_stability_score", F.get("bbox", F.lit(0)).alias("first_corner"),
+        "identity_reacquire_candidates",
+    )
+
+
 @query("run_manifest", "S12", """SELECT o_orderkey AS run_id, 'motion.run.v1' AS version, 'v' || o_orderkey || '.mp4' AS video, 4::INT AS frames, 0::INT AS analyses FROM orders WHERE o_orderkey % 10 <> 9""")
 def run_manifest(spark, sf):
     runs, _ = RD.parse_runs(_run_docs(spark, sf))

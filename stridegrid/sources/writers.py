@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stridegrid.functions.pose import joint_label
 from stridegrid.functions.text import csv_number, timestamp_ms
+from stridegrid.plans.session import cut
 from stridegrid.sources.schemas import ANALYSIS_SCHEMA_VERSION, RUN_SCHEMA_VERSION
 
 KEYS = ["run_id", "frame_index", "video_frame", "mesh_file"]
@@ -120,23 +121,113 @@ def upsert_analysis(entries: DataFrame, new: DataFrame) -> DataFrame:
     return entries.join(new.select("run_id", "analysis_id"), ["run_id", "analysis_id"], "left_anti").unionByName(new)
 
 
-def build_run_manifest(runs: DataFrame) -> DataFrame:
-    """Summary document of each run with its artifact names and no analyses yet."""
-    doc = F.struct(
+#: Names of the files of a run and of one of its analyses, and the default profiles.
+RUN_FILES = {"run_metadata": "run_metadata.json", "meshes": "meshes", "logs": "logs"}
+ANALYSIS_FILES = {
+    "manifest": "analysis_manifest.json", "signals": "signals.json", "frames": "frames.json",
+    "qa": "qa.json", "kinematics": "kinematics.parquet",
+}
+PROFILE, PRESET = "workstation_v1", "kinematics_v1"
+
+ANALYSIS = (
+    "struct<analysis_id string, preset string, created_at string, parameters string, "
+    f"artifacts struct<{', '.join(f'{n} string' for n in ANALYSIS_FILES)}>, qa_summary string>"
+)
+_MODEL = ("mhr_backend", "inference_precision", "mps_mode_requested", "checkpoint_path", "mhr_path")
+
+
+def run_manifests(runs: DataFrame, now: Column, profile: str = PROFILE, preset: str = PRESET) -> DataFrame:
+    """Manifest of each run as columns: who, what, when, sizes, models, artifacts, and no analyses yet.
+
+    ``runs``: run_id and, where they are known, the columns of a run document;
+    ``now``: the time as text, which also stands for a missing creation time.
+    """
+    have = set(runs.columns)
+    told = lambda c, kind, default=None: F.coalesce(F.col(c).cast(kind), F.lit(default).cast(kind)) if c in have else F.lit(default).cast(kind)
+    frames = told("frame_count", "int", 0)
+    subject = F.col("subject") if "subject" in have else F.lit(None).cast("string")
+    files = [F.lit(path).alias(name) for name, path in RUN_FILES.items()]
+    return runs.select(
         F.lit(RUN_SCHEMA_VERSION).alias("schema_version"),
         "run_id",
-        "source_video",
-        F.coalesce("inference_target", F.lit("body")).alias("inference_target"),
+        F.coalesce(told("created_at", "string"), now).alias("created_at"),
+        now.alias("updated_at"),
+        told("source_video", "string", "").alias("source_video"),
+        F.lit(profile).alias("config_profile"),
+        told("inference_target", "string", "body").alias("inference_target"),
         F.lit(1).alias("subject_count"),
-        F.col("frame_count"),
-        F.col("frame_count").alias("processed_frames"),
-        "fps",
-        F.struct(
-            F.lit("run_metadata.json").alias("run_metadata"), F.lit("meshes").alias("meshes"), F.lit("logs").alias("logs")
-        ).alias("artifacts"),
-        F.array().cast("array<string>").alias("analyses"),
+        subject.alias("subject"),
+        frames.alias("frame_count"),
+        frames.alias("processed_frames"),
+        told("fps", "double").alias("fps"),
+        told("video_width", "int").alias("video_width"),
+        told("video_height", "int").alias("video_height"),
+        F.struct(*[told(c, "string").alias(c) for c in _MODEL]).alias("model_versions"),
+        F.lit(None).cast("string").alias("quality_summary"),
+        F.struct(*files, told("preview_video", "string").alias("preview_video")).alias("artifacts"),
+        F.struct(F.lit(preset).alias("default")).alias("analysis_profiles"),
+        F.array().cast(f"array<{ANALYSIS}>").alias("analyses"),
+        F.lit(None).cast("string").alias("latest_analysis_id"),
     )
-    return runs.select("run_id", F.to_json(doc).alias("manifest"))
+
+
+def manifest_documents(manifests: DataFrame) -> DataFrame:
+    """(run_id, manifest): each manifest as a document with all of its fields."""
+    return manifests.select("run_id", F.to_json(F.struct(*manifests.columns), {"ignoreNullFields": "false"}).alias("manifest"))
+
+
+def build_run_manifest(runs: DataFrame) -> DataFrame:
+    """(run_id, manifest) of runs without analyses."""
+    return manifest_documents(run_manifests(runs, F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")))
+
+
+def record_analyses(manifests: DataFrame, new: DataFrame) -> DataFrame:
+    """Manifests with the analyses of ``new``: one of the same id is replaced, all others stay.
+
+    ``new``: run_id, analysis_id, preset, created_at, parameters, qa_summary (the
+    last two as JSON). Analyses of a run are taken in order of created_at, then
+    id; the last one is the latest analysis and gives the quality summary and the
+    time of the update. Rows of unknown runs are left out.
+    """
+    folder = F.concat(F.lit("analysis/"), F.regexp_replace("analysis_id", r"[^A-Za-z0-9_.-]+", "_"), F.lit("/"))
+    files = F.struct(*[F.concat(folder, F.lit(path)).alias(name) for name, path in ANALYSIS_FILES.items()])
+    entry = F.struct("created_at", "analysis_id", "preset", "parameters", files.alias("artifacts"), "qa_summary")
+    newest = new.groupBy("run_id", "analysis_id").agg(F.max(entry).alias("e"))
+    added = newest.groupBy("run_id").agg(F.sort_array(F.collect_list("e")).alias("_new"))
+    fields = ("analysis_id", "preset", "created_at", "parameters", "artifacts", "qa_summary")
+    kept = F.filter("analyses", lambda a: ~F.coalesce(F.array_contains(F.col("_new.analysis_id"), a["analysis_id"]), F.lit(False)))
+    more = F.coalesce(F.transform("_new", lambda e: F.struct(*[e[c].alias(c) for c in fields])), F.array())
+    last = F.element_at("_new", -1)
+    return manifests.join(added, "run_id", "left").withColumns(
+        {
+            "analyses": F.concat(kept, more),
+            "latest_analysis_id": F.coalesce(last["analysis_id"], "latest_analysis_id"),
+            "quality_summary": F.when(F.col("_new").isNull(), F.col("quality_summary")).otherwise(last["qa_summary"]),
+            "updated_at": F.coalesce(last["created_at"], "updated_at"),
+        }
+    ).select(*manifests.columns)
+
+
+def _in_parts(manifests: DataFrame, parts: int) -> DataFrame:
+    return manifests.withColumn("part", F.pmod(F.xxhash64("run_id"), F.lit(parts)).cast("int"))
+
+
+def write_manifests(manifests: DataFrame, path: str, parts: int = 64) -> None:
+    """Manifests as a table in ``parts`` partitions by run; partitions without a row here stay as they are."""
+    rows = _in_parts(manifests, parts).repartition("part")
+    rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("part").parquet(path)
+
+
+def upsert_manifests(path: str, new: DataFrame, parts: int = 64) -> None:
+    """Record new analyses in a table of manifests; only partitions with such a run are read and written again.
+
+    Latest pointer, quality summary and analyses of a run stand in one row and
+    so change together.
+    """
+    held = new.sparkSession.read.parquet(path)
+    touched = [r[0] for r in _in_parts(new, parts).select("part").distinct().collect()]  # at most ``parts`` numbers
+    rows = record_analyses(held.where(F.col("part").isin(touched)).drop("part"), new)
+    write_manifests(cut(rows), path, parts)
 
 
 def detection_lines(dets: DataFrame, fps: float, keys: list[str]) -> DataFrame:

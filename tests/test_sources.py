@@ -58,3 +58,50 @@ def test_upsert_is_idempotent(spark):
     want = {("r", "a", 1), ("r", "b", 9), ("r", "c", 3)}
     assert {tuple(r) for r in once.collect()} == want
     assert {tuple(r) for r in WR.upsert_analysis(once, new).collect()} == want
+
+
+def test_manifests_are_recorded_in_place(spark, tmp_path):
+    import json
+    import os
+
+    from pyspark.sql import functions as F
+
+    from stridegrid.sources import writers as WR
+
+    runs = spark.createDataFrame([(i, f"v{i}.mp4", 30.0, 1280) for i in range(40)], "run_id long, source_video string, fps double, video_width int")
+    path = str(tmp_path / "m")
+    WR.write_manifests(WR.run_manifests(runs, F.lit("t0")), path, parts=8)
+    schema = "run_id long, analysis_id string, preset string, created_at string, parameters string, qa_summary string"
+    first = spark.createDataFrame([(1, "b", "p", "t2", "{}", "q2"), (1, "a/x", "p", "t1", "{}", "q1"), (99, "a", "p", "t1", "{}", "q")], schema)
+    WR.upsert_manifests(path, first, parts=8)
+    parts = [d for d in os.listdir(path) if d.startswith("part=")]
+    files = lambda: {f"{d}/{f}" for d in parts for f in os.listdir(f"{path}/{d}") if f.endswith(".parquet")}
+    before = files()
+    WR.upsert_manifests(path, spark.createDataFrame([(1, "a/x", "p", "t3", "{}", None)], schema), parts=8)
+    assert len(before - files()) == 1  # one partition was written again
+    rows = {r.run_id: r for r in spark.read.parquet(path).collect()}
+    assert len(rows) == 40 and 99 not in rows
+    one, two = rows[1], rows[2]
+    assert [a.analysis_id for a in one.analyses] == ["b", "a/x"] and one.latest_analysis_id == "a/x"
+    assert one.quality_summary is None and one.updated_at == "t3" and one.created_at == "t0"
+    assert one.analyses[1].artifacts.kinematics == "analysis/a_x/kinematics.parquet"
+    assert two.analyses == [] and two.latest_analysis_id is None and two.updated_at == "t0"
+    doc = json.loads(WR.manifest_documents(spark.read.parquet(path).drop("part").where("run_id = 2")).first().manifest)
+    assert doc["video_width"] == 1280 and doc["subject"] is None and doc["model_versions"]["mhr_path"] is None
+    assert doc["artifacts"]["preview_video"] is None and doc["analysis_profiles"] == {"default": "kinematics_v1"}
+
+
+def test_absent_records_keep_what_the_tracker_knows(spark):
+    from stridegrid.operators.frames import absent_records
+
+    bare = absent_records(spark.createDataFrame([(1, 4)], "run_id long, frame_index long"), "gone").first()
+    assert bare.identity_status == "gone" and bare.identity_is_lost and bare.identity_lost_frames == 0
+    assert bare.bbox is None and bare.identity_reacquire_scanned is False and bare.video_frame == 4
+    held = spark.createDataFrame(
+        [(1, 4, [1.0, 2.0, 3.0, 4.0], "reacquiring", False, 7, 0.5, True, 3)],
+        "run_id long, frame_index long, bbox array<double>, identity_status string, identity_is_lost boolean, "
+        "identity_lost_frames int, identity_appearance_similarity double, identity_reacquire_scanned boolean, identity_reacquire_candidates int",
+    )
+    full = absent_records(held, "gone").first()
+    assert (full.identity_status, full.identity_is_lost, full.identity_lost_frames) == ("reacquiring", False, 7)
+    assert full.bbox == [1.0, 2.0, 3.0, 4.0] and full.identity_reacquire_candidates == 3 and full.inference_status == "gone"
