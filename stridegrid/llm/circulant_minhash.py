@@ -308,21 +308,22 @@ def minhash_groups(docs: DataFrame, sets: DataFrame, *, words: int, percent: int
     members = _blocked(members)
     links = _solved(members, elements, percent, own=True, across=False)
 
-    def tied() -> DataFrame:
+    def tied(links: DataFrame, so_far: DataFrame | None = None) -> DataFrame:
+        if so_far is not None:
+            links = links.union(so_far.select(F.col("component").alias("a"), F.col("sid").alias("b")))
         return components(links).withColumnRenamed("node", "sid")
 
-    groups = tied()
+    groups = tied(links)
     rest = _open(members, groups)
     if not rest.isEmpty():
         named = rest.groupBy("token", "grp").agg(F.min(F.struct("sid", "n")).alias("s")).select("token", "s.*", "grp")
-        links = links.union(_solved(_blocked(staged(named, "named")), elements, percent, own=True, across=True))
-        groups = tied()
+        links = _solved(_blocked(staged(named, "named")), elements, percent, own=True, across=True)
+        groups = tied(links, groups)
         rest = _open(rest, groups)
         held = rest.groupBy("token").agg(F.count("*").alias("rows"), F.count_distinct("grp").alias("groups"))
         rest = staged(rest.join(held.where("rows > groups").select("token"), "token", "left_semi"), "still-open")
     if not rest.isEmpty():
-        links = links.union(_solved(rest, elements, percent, own=False, across=True))
-        groups = tied()
+        groups = tied(_solved(rest, elements, percent, own=False, across=True), groups)
     return groups
 
 
