@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stridegrid.functions.numbers import tidy
+from stridegrid.operators.recurrences import ONE_EURO
+from stridegrid.plans import window_queries
 from stridegrid.plans.registry import STATUS, query
 from stridegrid.sources import adapters as A
 from stridegrid.sources.writers import shared_folder
 from stridegrid.streaming import live as L
 from stridegrid.streaming import sinks as K
 from stridegrid.streaming.anchors import anchor_stream
+from stridegrid.streaming.filters import one_euro_stream
+from stridegrid.streaming.segments import end_rows, segment_stream
 
 
 _HOURS = """SELECT user_id AS run_id, epoch(date_trunc('hour', ts))::BIGINT AS window_start, count(*) AS n FROM events GROUP BY ALL"""
@@ -73,6 +78,26 @@ def anchor_stream_query(spark, sf):
     return _drained(spark, anchor_stream(stream, anchors), "anchors")
 
 
+@query("one_euro_stream", "G3", window_queries.ONE_EURO_SQL)
+def one_euro_stream_query(spark, sf):
+    path = shared_folder(spark, "samples")
+    A.series(spark, sf).select("run_id", "frame_index", (F.col("value") / 100).alias("v")).write.parquet(path)
+    stream = spark.readStream.schema("run_id bigint, frame_index bigint, v double").option("maxFilesPerTrigger", 10_000).parquet(path)
+    out = _drained(spark, one_euro_stream(stream, 30.0, {"smooth": ("v", *ONE_EURO["x"])}), "smoothed")
+    return out.withColumn("smooth", tidy(F.col("smooth")))
+
+
+@query("segment_stream", "T2,J7")
+def segment_stream_query(spark, sf):
+    from stridegrid.plans.tracking_queries import montage
+
+    dets = montage(spark, sf)
+    path = shared_folder(spark, "detections")
+    dets.unionByName(end_rows(dets)).write.parquet(path)
+    stream = spark.readStream.schema(dets.schema).parquet(path)
+    return _drained(spark, segment_stream(stream, 2), "segments")
+
+
 @query("windowed_counts", "T8", _HOURS)
 def windowed_counts(spark, sf):
     e = A.table(spark, sf, "events").withColumnRenamed("user_id", "run_id")

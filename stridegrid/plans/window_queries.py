@@ -305,8 +305,11 @@ _EURO = """rec AS (SELECT run_id, frame_index, v, v AS x, CASE WHEN v IS NOT NUL
 _AD = "(1 / (1 + 30 / (2 * pi())))"
 
 
-@query("one_euro", "G3", f"""WITH RECURSIVE {SERIES}, sig AS (SELECT run_id, frame_index, value / 100 AS v FROM series),
-{_EURO.format(m=1.0, b=0.3, a=_AD)} SELECT run_id, frame_index, {r('CASE WHEN v IS NOT NULL THEN x END')} AS smooth FROM rec""")
+ONE_EURO_SQL = f"""WITH RECURSIVE {SERIES}, sig AS (SELECT run_id, frame_index, value / 100 AS v FROM series),
+{_EURO.format(m=1.0, b=0.3, a=_AD)} SELECT run_id, frame_index, {r('CASE WHEN v IS NOT NULL THEN x END')} AS smooth FROM rec"""
+
+
+@query("one_euro", "G3", ONE_EURO_SQL)
 def one_euro(spark, sf):
     df = A.series(spark, sf).withColumn("v", F.col("value") / 100)
     return R.one_euro(df, 30.0, {"smooth": ("v", *R.ONE_EURO["x"])}).select(

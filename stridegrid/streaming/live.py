@@ -16,7 +16,7 @@ from stridegrid.operators.tracking import track_ids
 from stridegrid.streaming.identity import TrackTable
 
 
-def _millis(at) -> int:
+def millis(at) -> int:
     """A time as milliseconds, rounded up; a row without time waits for nothing."""
     return 0 if pd.isna(at) else -(-pd.Timestamp(at).value // 1_000_000)
 
@@ -62,7 +62,7 @@ class _Kept(StatefulProcessor):
 
     def _ripe(self, pdf: pd.DataFrame, watermark: int) -> pd.Series:
         """Rows of frames up to the newest that the watermark has passed."""
-        ms = pdf[self.time].map(_millis)
+        ms = pdf[self.time].map(millis)
         newest = pdf[self.frame].where(ms.groupby(pdf[self.frame]).transform("max") <= watermark).max()
         return pdf[self.frame] <= newest
 
@@ -78,7 +78,7 @@ class _Kept(StatefulProcessor):
             if last is not None:
                 ripe |= pdf[self.frame] <= last
             pdf, open_rows = pdf[ripe], pdf[~ripe]
-            for at in sorted(set(open_rows[self.time].map(_millis))):
+            for at in sorted(set(open_rows[self.time].map(millis))):
                 self.handle.registerTimer(at)
         elif self.split_frames:
             newest = pdf[self.frame] == pdf[self.frame].max()

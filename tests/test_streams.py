@@ -107,3 +107,55 @@ def test_anchor_stream_equals_anchor_feed_over_batches_and_restarts(spark):
     want = sorted((r.run_id, r.frame_index, r.anchor) for r in anchor_feed(table, anchors).collect())
     assert got == want and sum(a is not None for *_, a in got) == 5
     assert call().count() == len(want)  # a restart from the checkpoint serves nothing twice
+
+
+def test_lowpass_on_a_stream_equals_the_table_over_restarts(spark):
+    from stridegrid.operators.recurrences import one_euro
+    from stridegrid.plans.blocks import RUNS
+    from stridegrid.streaming.filters import one_euro_stream
+
+    wave = lambda r, f: None if (f * r) % 7 == 3 else float((f * 37 + r * 11) % 50) / 10
+    rows = [(r, f, wave(r, f), None if f < 40 else float(f % 9)) for r in (1, 2, 5) for f in range(90)]
+    schema = "run_id bigint, frame_index bigint, v double, w double"
+    table = spark.createDataFrame(rows, schema)
+    columns = {"a": ("v", 1.0, 0.3), "b": ("w", 0.5, 0.15)}
+    want = sorted(map(tuple, one_euro(table, 30.0, columns, RUNS).select("run_id", "frame_index", "a", "b").collect()))
+    src, out, checkpoint = new("src"), new(), new()
+    for lo, hi in ((0, 11), (11, 60), (60, 90)):
+        table.where(F.col("frame_index").between(lo, hi - 1)).coalesce(1).write.mode("append").parquet(src)
+        got = K.drained(one_euro_stream(spark.readStream.schema(schema).parquet(src), 30.0, columns), out, checkpoint)
+    got = sorted(map(tuple, got.collect()))
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    for a, b in zip(got, want, strict=True):
+        assert a[2:] == pytest.approx(b[2:], abs=1e-9)
+    table.where("run_id = 1 AND frame_index = 4").write.mode("append").parquet(src)  # late
+    again = K.drained(one_euro_stream(spark.readStream.schema(schema).parquet(src), 30.0, columns), out, checkpoint)
+    late = again.where("run_id = 1 AND frame_index = 4 AND a IS NULL AND b IS NULL")
+    assert again.count() == len(want) + 1 and late.count() == 1
+
+
+def test_hands_on_a_stream_equal_the_table_over_restarts(spark):
+    from stridegrid.operators.hands import hand_temporal
+    from stridegrid.streaming.filters import hand_stream
+
+    rows = []
+    for r in (1, 2):
+        for f in range(80):
+            x = 300.0 + f + (700 if f == 33 else 0)
+            away = (f * r) % 13 in (4, 5) or 50 <= f < 50 + 14 * r
+            seen = None if away else [x, 200.0, x + 80, 300.0]
+            shape = None if f % 5 == 2 or away else [float((f * k) % 7) for k in range(48 if f < 40 else 51)]
+            rows.append((r, f, [x, 195.0, x + 80, 300.0] if f % 6 == 0 else None, seen, shape, "t", "raw_output" if f % 3 else "tracked"))
+    schema = (
+        "run_id bigint, frame_index bigint, prior array<double>, measured array<double>, "
+        "vertices array<double>, topology string, source string"
+    )
+    table = spark.createDataFrame(rows, schema)
+    want = hand_temporal(table, 1280, 720).orderBy("run_id", "frame_index").collect()
+    src, out, checkpoint = new("src"), new(), new()
+    for lo, hi in ((0, 5), (5, 31), (31, 55), (55, 80)):  # borders within absences
+        table.where(F.col("frame_index").between(lo, hi - 1)).coalesce(1).write.mode("append").parquet(src)
+        got = K.drained(hand_stream(spark.readStream.schema(schema).parquet(src), 1280, 720), out, checkpoint)
+    assert got.orderBy("run_id", "frame_index").collect() == want
+    assert {r.status for r in want} >= {"tracked", "reentry_blend", "occluded_hold", "drift_reject_hold", "lost_empty", "bbox_only"}
+    assert {r.shape_origin for r in want} == {"measured", "ema", "hold", "empty", "reentry_interp"}
