@@ -286,13 +286,26 @@ def _solved(members: DataFrame, elements: DataFrame, percent: int, own: bool, ac
     return staged(_tile_links(places.join(elements, "sid"), percent), "links")
 
 
-def _open(members: DataFrame, tied: DataFrame) -> DataFrame:
-    """``members`` of buckets that hold several groups in several blocks, with their groups so far."""
+def _grouped(members: DataFrame, tied: DataFrame) -> DataFrame:
+    """``members`` with their groups so far."""
     rows = members.drop("grp").join(tied, "sid", "left")
-    rows = staged(rows.select("token", "sid", "n", "block", F.coalesce("component", "sid").alias("grp")), "grouped")
-    spread = [f(c).alias(f"{x}_{c}") for c in ("grp", "block") for x, f in (("lo", F.min), ("hi", F.max))]
-    mixed = rows.groupBy("token").agg(*spread).where("lo_grp <> hi_grp AND lo_block <> hi_block")
-    return staged(rows.join(mixed.select("token"), "token", "left_semi"), "open")
+    return rows.select("token", "sid", "n", "block", F.coalesce("component", "sid").alias("grp"))
+
+
+def _bucket_groups(members: DataFrame, tied: DataFrame) -> DataFrame:
+    """(token, grp, rows, s, lo, hi): a row per group in a bucket, with the set that stands for it and its blocks."""
+    each = _grouped(members, tied).groupBy("token", "grp").agg(
+        F.count("*").alias("rows"), F.min(F.struct("sid", "n")).alias("s"), F.min("block").alias("lo"), F.max("block").alias("hi")
+    )
+    return staged(each, "bucket-groups")
+
+
+def _open(each: DataFrame) -> DataFrame:
+    """(token, rows, groups) of buckets that hold several groups in several blocks."""
+    told = each.groupBy("token").agg(
+        F.sum("rows").alias("rows"), F.count_distinct("grp").alias("groups"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
+    )
+    return staged(told.where("groups > 1 AND lo <> hi").select("token", "rows", "groups"), "open")
 
 
 def minhash_groups(docs: DataFrame, sets: DataFrame, *, words: int, percent: int) -> DataFrame:
@@ -314,15 +327,19 @@ def minhash_groups(docs: DataFrame, sets: DataFrame, *, words: int, percent: int
         return components(links).withColumnRenamed("node", "sid")
 
     groups = tied(links)
-    rest = _open(members, groups)
-    if not rest.isEmpty():
-        named = rest.groupBy("token", "grp").agg(F.min(F.struct("sid", "n")).alias("s")).select("token", "s.*", "grp")
-        links = _solved(_blocked(staged(named, "named")), elements, percent, own=True, across=True)
-        groups = tied(links, groups)
-        rest = _open(rest, groups)
-        held = rest.groupBy("token").agg(F.count("*").alias("rows"), F.count_distinct("grp").alias("groups"))
-        rest = staged(rest.join(held.where("rows > groups").select("token"), "token", "left_semi"), "still-open")
-    if not rest.isEmpty():
+    each = _bucket_groups(members, groups)
+    unsolved = _open(each)
+    if not unsolved.isEmpty():
+        # groups stand in buckets as one row before buckets are picked, so a large group counts no more than a small one
+        each = staged(each.join(unsolved.select("token"), "token", "left_semi"), "open-groups")
+        named = staged(each.select("token", "s.*", "grp"), "named")
+        groups = tied(_solved(_blocked(named), elements, percent, own=True, across=True), groups)
+        now = each.join(groups, each["s.sid"] == groups["sid"], "left")
+        unsolved = _open(now.select("token", F.coalesce("component", "grp").alias("grp"), "rows", "lo", "hi"))
+        unsolved = unsolved.where("rows > groups")
+    if not unsolved.isEmpty():
+        rest = members.join(unsolved.select("token"), "token", "left_semi")
+        rest = staged(_grouped(rest, groups), "still-open")
         groups = tied(_solved(rest, elements, percent, own=False, across=True), groups)
     return groups
 
