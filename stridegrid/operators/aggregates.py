@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stridegrid.functions.boxes import Box, candidate_score, pinhole_project, rect_pad
@@ -305,6 +305,25 @@ def timing_summary(records: DataFrame, stages: list[str], keys: list[str]) -> Da
     )
 
 
+def observed_timings(records: DataFrame, stages: list[str]) -> tuple[DataFrame, Observation]:
+    """``records`` as they are, and totals that the first action over them gathers on its way, without a pass of its own.
+
+    ``timing_row`` reads them once that action is done.
+    """
+    seen = Observation()
+    sums = [F.sum(s).alias(f"{s}_total") for s in stages]
+    return records.observe(seen, F.count(F.lit(1)).alias("frames"), *sums), seen
+
+
+def timing_row(spark: SparkSession, seen: Observation, stages: list[str]) -> DataFrame:
+    """One row as ``timing_summary`` gives it for a key; totals of no rows are null."""
+    told = seen.get
+    kinds = "frames bigint, " + ", ".join(f"{s}_total double" for s in stages)
+    values = [None if (v := told.get(f"{s}_total")) is None else float(v) for s in stages]
+    row = spark.createDataFrame([(told["frames"], *values)], kinds)
+    return row.withColumns({f"{s}_per_frame": F.try_divide(f"{s}_total", "frames") for s in stages})
+
+
 def max_joint_count(frames: DataFrame) -> DataFrame:
     return frames.groupBy("run_id").agg(F.coalesce(F.max(F.size("joints")), F.lit(0)).alias("joint_count"))
 

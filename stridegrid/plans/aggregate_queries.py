@@ -12,6 +12,7 @@ from stridegrid.plans.quantiles import exact_quantiles
 from stridegrid.plans.registry import BOXES, POSE, SERIES, STATUS, joint, query, r
 from stridegrid.plans.scalar_queries import sql_angle
 from stridegrid.sources import adapters as A
+from stridegrid.sources.writers import shared_folder
 
 RUN = ["run_id", "frame_index"]
 WIN = "PARTITION BY run_id ORDER BY frame_index"
@@ -225,6 +226,15 @@ def timing_summary(spark, sf):
     return out.select("run_id", "frames", tidy(F.col("infer_total")).alias("infer_total"), tidy(F.col("infer_per_frame")).alias("infer_per_frame"))
 
 
+@query("observed_timings", "A19", f"""SELECT count(*) AS frames, {r('sum(value)', 4)} AS infer_total, {r('sum(value) / count(*)')} AS infer_per_frame FROM events""")
+def observed_timings(spark, sf):
+    e = A.table(spark, sf, "events").select(F.col("user_id").alias("run_id"), F.col("value").alias("infer"))
+    rows, seen = G.observed_timings(e, ["infer"])
+    rows.write.parquet(shared_folder(spark, "records"))
+    out = G.timing_row(spark, seen, ["infer"])
+    return out.select("frames", tidy(F.col("infer_total"), 4).alias("infer_total"), tidy(F.col("infer_per_frame")).alias("infer_per_frame"))
+
+
 @query("max_joint_count", "A20", f"WITH {POSE} SELECT run_id, max(CASE WHEN vec_id % 5 = 0 THEN 21 ELSE 10 + vec_id % 7 END)::INT AS joint_count FROM pose GROUP BY run_id")
 def max_joint_count(spark, sf):
     v = F.col("vec_id")
