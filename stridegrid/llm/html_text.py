@@ -12,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Attributes by the rules of HTML: a name may hold quotes, so may a value without quotes.
+_ATTRS = r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?)?+)*+"""
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
-    re.S,
+    rf"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>{_ATTRS})(?:>|\Z)",
+    re.S | re.A,
 )
-_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.S)
+_ATTR = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)))?+""", re.S | re.A)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
@@ -50,26 +52,65 @@ SIDE_WORDS = frozenset(
     "breadcrumb breadcrumbs footer footers masthead topbar toolbar comment comments commentlist disqus replies "
     "respond share sharing social related recommended recommendations pagination pager".split()
 )
+#: A class with one of these words tells of the page's state, not what the element is.
+STATE_WORDS = frozenset("no not non has have with without open closed enabled disabled allowed hide show".split())
+#: Elements of these are reader comments, however much of the page they hold.
+READER_WORDS = frozenset("comment comments commentlist disqus replies respond".split())
 #: Elements whose class names describe the page, not themselves.
 ROOTS = frozenset(("html", "body", "article", "main"))
 
 
+@dataclass(slots=True, eq=False)
+class Path:
+    """A tag path: one object per distinct path of a page, so deep pages stay linear."""
+
+    label: str
+    parent: Path | None
+    below: dict[str, Path] = field(default_factory=dict)
+
+    def down(self, label: str) -> Path:
+        if label not in self.below:
+            self.below[label] = Path(label, self)
+        return self.below[label]
+
+    def labels(self) -> tuple[str, ...]:
+        out: list[str] = []
+        at: Path | None = self
+        while at is not None:
+            out.append(at.label)
+            at = at.parent
+        return tuple(reversed(out))
+
+
+@dataclass(slots=True, eq=False)
+class Element:
+    """A block element or listed inline element. ``article`` is the outermost one, ``main`` the first one before it."""
+
+    name: str
+    path: Path
+    parent: Element | None
+    depth: int = 0
+    firm: bool = False
+    listed: str = ""
+    main: Element | None = None
+    article: Element | None = None
+    side: bool = False
+    mass: int = 0
+
+
 @dataclass(slots=True)
 class _Open:
     name: str
-    label: str
-    side: bool
     link: bool
-    number: int
+    element: Element
+    own: bool
 
 
 @dataclass(slots=True)
 class Block:
-    """Text of one block: its path, the elements it stands in, and what of it is link text."""
+    """Text of one block: the element it stands in, and what of it is link text."""
 
-    path: tuple[str, ...]
-    inside: tuple[int, ...]
-    side: bool
+    element: Element
     parts: list[str] = field(default_factory=list)
     link_chars: int = 0
     text: str = ""
@@ -80,34 +121,42 @@ def _label(name: str, attrs: dict[str, str]) -> str:
     return ".".join([name, *sorted(words)])
 
 
-def _is_side(name: str, attrs: dict[str, str], in_article: bool) -> bool:
-    if name in SIDE_TAGS or "hidden" in attrs:
-        return True
-    if name == "header" and not in_article:
-        return True
+def _listed(name: str, attrs: dict[str, str], in_article: bool) -> tuple[bool, str]:
+    """Whether an element is page furniture by its tag, role or style, and the word for which its names list it as such."""
+    if (name in SIDE_TAGS and name != "form") or "hidden" in attrs or (name == "header" and not in_article):
+        return True, ""
     if re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I):
-        return True
+        return True, ""
     if name in ROOTS:
-        return False
-    if attrs.get("role", "").lower() in SIDE_ROLES:
-        return True
-    words = set(re.split(r"[^a-z0-9]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
-    return bool(words & SIDE_WORDS) or ("header" in words and not in_article)
-
-
-def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
-    """Blocks of a page in order, and the tag of every element that holds one."""
-    stack = [_Open("#page", "#page", False, False, 0)]
+        return False, ""
+    role = attrs.get("role", "").lower()
+    if role in SIDE_ROLES and role != "form":
+        return True, ""
+    for token in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
+        words = set(re.split(r"[^a-z0-9]+", token))
+        if words & STATE_WORDS:
+            continue
+        if words & READER_WORDS:
+            return False, "reader"
+        if words & SIDE_WORDS or ("header" in words and not in_article):
+            return False, "names"
+    return False, "form" if "form" in (name, role) else ""
+
+
+def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
+    """Blocks of a page and the elements that may hold them, both in page order. Linear in the page at any depth."""
+    top = Element("#page", Path("#page", None), None)
+    stack = [_Open("#page", False, top, True)]
+    counts: dict[str, int] = {}
     blocks: list[Block] = []
-    names: dict[int, str] = {0: "#page"}
+    elements = [top]
     current: Block | None = None
-    number, at, size = 0, 0, len(page)
+    at, size = 0, len(page)
 
     def add(text: str) -> None:
         nonlocal current
         if current is None:
-            top = [x for x in stack if x.name in BLOCK or x.name == "#page" or x.side]
-            current = Block(tuple(x.label for x in top), tuple(x.number for x in top), stack[-1].side)
+            current = Block(stack[-1].element)
             blocks.append(current)
         current.parts.append(text)
         if stack[-1].link:
@@ -115,9 +164,11 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
 
     def pop_to(index: int) -> None:
         nonlocal current
-        if any(x.name in BLOCK or x.side for x in stack[index:]):
-            current = None
-        del stack[index:]
+        while len(stack) > index:
+            gone = stack.pop()
+            counts[gone.name] -= 1
+            if gone.own:
+                current = None
 
     while at < size:
         match = _TOKEN.search(page, at)
@@ -133,9 +184,8 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
                 add(match[0][9:].removesuffix("]]>"))
             continue
         if match["close"]:
-            floor = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
-            if floor:
-                pop_to(floor)
+            if counts.get(name):
+                pop_to(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name))
             continue
         if name == "br":
             add(" ")
@@ -152,7 +202,7 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
             if name in BLOCK:
                 current = None
             continue
-        if name in IMPLIED:
+        if name in IMPLIED and any(counts.get(x) for x in IMPLIED[name][0]):
             ended, bound = IMPLIED[name]
             low = len(stack)
             for i in range(len(stack) - 1, 0, -1):
@@ -162,46 +212,44 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
                     low = i
             if low < len(stack):
                 pop_to(low)
-        if name in BLOCK:
+        if name in BLOCK and counts.get("p"):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == "p":
                     pop_to(i)
                     break
                 if stack[i].name in BLOCK:
                     break
-        in_article = any(x.name in ("article", "main") for x in stack)
-        side = stack[-1].side or _is_side(name, attrs, in_article)
-        number += 1
-        names[number] = name
-        if name == "div" and (attrs.get("role", "").lower() == "main" or "articlebody" in attrs.get("itemprop", "").lower()):
-            names[number] = "main"
-        if name in BLOCK or side:
-            current = None
-        stack.append(_Open(name, _label(name, attrs), side, stack[-1].link or name == "a", number))
+        within = stack[-1].element
+        firm, listed = _listed(name, attrs, bool(counts.get("article") or counts.get("main")))
+        own = name in BLOCK or firm or bool(listed)
+        if own:
+            kind = name
+            if name == "div" and (attrs.get("role", "").lower() == "main" or "articlebody" in attrs.get("itemprop", "").lower()):
+                kind = "main"
+            new = Element(kind, within.path.down(_label(name, attrs)), within, within.depth + 1, within.firm or firm, listed)
+            new.article = within.article or (new if kind == "article" else None)
+            new.main = within.main or (new if kind == "main" and not new.article else None)
+            elements.append(new)
+            within, current = new, None
+        counts[name] = counts.get(name, 0) + 1
+        stack.append(_Open(name, stack[-1].link or name == "a", within, own))
     for block in blocks:
         block.text = " ".join("".join(block.parts).split())
-    return [b for b in blocks if b.text], names
+    return [b for b in blocks if b.text], elements
 
 
-def path_scores(blocks: list[Block], smooth: tuple[float, float] = (0.5, 0.25)) -> dict[tuple[str, ...], float]:
-    """Fused ratio of every tag path.
-
-    Text length and punctuation are summed per path and divided by its blocks;
-    both ratios are smoothed over the paths of one parent in page order, fused
-    as their product and weakened by the share of link text. Paths under page
-    furniture score nothing.
-    """
-    sums: dict[tuple[str, ...], list[float]] = {}
+def _scores(blocks: list[Block], smooth: tuple[float, float]) -> dict[Path, float]:
+    sums: dict[Path, list[float]] = {}
     for b in blocks:
-        own = sums.setdefault(b.path, [0, 0, 0, 0, 0])
+        own = sums.setdefault(b.element.path, [0, 0, 0, 0, 0])
         own[0] += len(b.text)
         own[1] += len(_PUNCTUATION.findall(b.text))
         own[2] += 1
         own[3] += b.link_chars
-        own[4] += b.side
-    by_parent: dict[tuple[str, ...], list[tuple[str, ...]]] = {}
+        own[4] += b.element.side
+    by_parent: dict[Path | None, list[Path]] = {}
     for path in sums:
-        by_parent.setdefault(path[:-1], []).append(path)
+        by_parent.setdefault(path.parent, []).append(path)
     out = {}
     for paths in by_parent.values():
         text = np.array([sums[p][0] / sums[p][2] for p in paths])
@@ -215,14 +263,63 @@ def path_scores(blocks: list[Block], smooth: tuple[float, float] = (0.5, 0.25))
     return out
 
 
-def _marks(kept: list[Block], names: dict[int, str]) -> list[tuple[int, int]]:
-    """The main and the outermost article of every block, 0 where it stands in none; a main within an article is part of it."""
-    out = []
-    for b in kept:
-        article = next((i for i in b.inside if names[i] == "article"), 0)
-        before = b.inside[: b.inside.index(article)] if article else b.inside
-        out.append((next((i for i in before if names[i] == "main"), 0), article))
-    return out
+def path_scores(blocks: list[Block], smooth: tuple[float, float] = (0.5, 0.25)) -> dict[tuple[str, ...], float]:
+    """Fused ratio of every tag path.
+
+    Text length and punctuation are summed per path and divided by its blocks;
+    both ratios are smoothed over the paths of one parent in page order, fused
+    as their product and weakened by the share of link text. Paths under page
+    furniture score nothing.
+    """
+    return {p.labels(): s for p, s in _scores(blocks, smooth).items()}
+
+
+def _content(blocks: list[Block], cut: float) -> set[Path]:
+    """Paths whose fused ratio reaches ``cut`` standard deviations of all; every path outside furniture if none does."""
+    scores = _scores(blocks, (0.5, 0.25))
+    limit = cut * float(np.std(list(scores.values()))) if scores else 0.0
+    return {p for p, s in scores.items() if s > 0 and s >= limit} or {b.element.path for b in blocks if not b.element.side}
+
+
+def _weigh(blocks: list[Block], elements: list[Element], content: set[Path]) -> int:
+    """Characters on content paths outside furniture, of every element and in all."""
+    for e in elements:
+        e.mass = 0
+    for b in blocks:
+        if b.element.path in content and not b.element.side:
+            b.element.mass += len(b.text)
+    for e in reversed(elements):
+        if e.parent is not None:
+            e.parent.mass += e.mass
+    return elements[0].mass
+
+
+def _settle(blocks: list[Block], elements: list[Element], cut: float) -> None:
+    """Tell page furniture: what is so by tag, role or style, and what is listed by its names unless it holds the page.
+
+    A form with half of the content is a wrapper and stays. So is another listed
+    element with nine tenths of it and a title (h1), article or main element, if
+    none of these has text outside listed elements. Reader comments never are.
+    """
+    for e in elements:
+        e.side = e.firm
+    if any(e.listed for e in elements):
+        total = _weigh(blocks, elements, _content(blocks, cut))
+        free: set[Element] = set()
+        for e in elements:
+            if not e.listed and (e.parent is None or e.parent in free):
+                free.add(e)
+        titled = {b.element for b in blocks if not b.element.firm and (b.element.article or b.element.main or b.element.name == "h1")}
+        told = bool(titled & free)
+        for e in reversed(elements):
+            if e in titled and e.parent is not None:
+                titled.add(e.parent)
+        for e in elements:
+            wrapper = total > 0 and (
+                (e.listed == "form" and 2 * e.mass >= total)
+                or (e.listed == "names" and not told and e in titled and 10 * e.mass >= 9 * total)
+            )
+            e.side = e.firm or (e.parent is not None and e.parent.side) or (bool(e.listed) and not wrapper)
 
 
 def main_text(page: str | None, cut: float = 0.5, share: float = 0.1) -> str:
@@ -235,56 +332,62 @@ def main_text(page: str | None, cut: float = 0.5, share: float = 0.1) -> str:
     heaviest one are kept whole if they hold most of the content, with the
     headings and blocks that a main element has beside such an article. If they
     hold less, or the page marks none, these are the blocks of the deepest
-    element with nine tenths of the content; if that is the page itself, only
-    those of which a sibling path is content.
+    element with nine tenths of the content and titles (h1); if that is the
+    page itself, only those of which a sibling path is content.
     """
     if not page:
         return ""
-    blocks, names = blocks_of(page)
-    scores = path_scores(blocks)
-    kept = [b for b in blocks if not b.side]
+    blocks, elements = blocks_of(page)
+    _settle(blocks, elements, cut)
+    kept = [b for b in blocks if not b.element.side]
     if not kept:
         return ""
-    limit = cut * float(np.std(list(scores.values())))
-    content = {p for p, s in scores.items() if s > 0 and s >= limit} or {b.path for b in kept}
-    marks = _marks(kept, names)
-    weight: dict[int, int] = {}
-    own: dict[int, int] = {}
-    total = 0
-    for b, (main, article) in zip(kept, marks, strict=True):
-        if b.path in content:
-            total += len(b.text)
-            for i in b.inside:
-                weight[i] = weight.get(i, 0) + len(b.text)
-            if main or article:
-                own[article or main] = own.get(article or main, 0) + len(b.text)
-    filled = {i for i, w in own.items() if w >= share * max(own.values())}
-    around: set[int] = set()
-    for b, (_, article) in zip(kept, marks, strict=True):
-        if article in filled:
-            around.update(b.inside[: b.inside.index(article)])
-    if 2 * sum(own[i] for i in filled) <= total:
-        filled = None
-        depth = {i: d for b in kept for d, i in enumerate(b.inside)}
-        root = max((i for i, w in weight.items() if w >= 0.9 * total), key=lambda i: (depth[i], i))
-        near = {p[:-1] for p in content} if names[root] in ("#page", "html", "body") else None
-
-    def stays(b: Block, main: int, article: int) -> bool:
+    content = _content(blocks, cut)
+    total = _weigh(blocks, elements, content)
+    own: dict[Element, int] = {}
+    for b in kept:
+        marked = b.element.article or b.element.main
+        if marked and b.element.path in content:
+            own[marked] = own.get(marked, 0) + len(b.text)
+    filled = {e for e, w in own.items() if w >= share * max(own.values())}
+    around: set[Element] = set()
+    for e in filled:
+        up = e.parent if e.name == "article" else None
+        while up is not None and up not in around:
+            around.add(up)
+            up = up.parent
+    marked_only = 2 * sum(own[e] for e in filled) > total
+    rooted: set[Element] = set()
+    near: set[Path | None] | None = None
+    if not marked_only:
+        root = elements[0]
+        for e in elements:
+            if e.mass >= 0.9 * total and e.depth >= root.depth:
+                root = e
+        for e in elements:
+            if e is root or e.parent in rooted:
+                rooted.add(e)
+        if root.name in ("#page", "html", "body"):
+            near = {p.parent for p in content}
+
+    def stays(b: Block) -> bool:
+        e = b.element
         linked = 2 * b.link_chars > max(1, len(b.text))
-        if filled is None:
-            return not linked and (
-                b.path in content or root in b.inside and (near is None or b.path[:-1] in near)
-            )
-        if article in filled or (main in filled and not article and main not in around):
+        if not marked_only:
+            at_root = e in rooted and (near is None or e.path.parent in near)
+            return not linked and (e.path in content or at_root or e.name == "h1")
+        if e.article in filled or (e.main in filled and not e.article and e.main not in around):
             return True
-        if linked or b.path in content:
+        if linked or e.path in content:
             return not linked
-        if article or main not in around:
+        if e.article or e.main not in around:
             return False
-        parents = [i for i in b.inside[:-1] if names[i] not in ("header", "hgroup")]
-        return main in filled or names[b.inside[-1]] == "h1" or parents[-1] in around
+        up = e.parent
+        while up is not None and up.name in ("header", "hgroup"):
+            up = up.parent
+        return e.main in filled or e.name == "h1" or up in around
 
-    return "\n".join(b.text for b, (main, article) in zip(kept, marks, strict=True) if stays(b, main, article))
+    return "\n".join(b.text for b in kept if stays(b))
 
 
 def extract_text(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

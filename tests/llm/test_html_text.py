@@ -1,3 +1,6 @@
+import re
+import time
+
 from stridegrid.llm.html_text import blocks_of, extract_text, main_text, path_scores
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head>
@@ -60,6 +63,77 @@ def test_path_scores_put_text_over_links():
     assert scores[("#page", "body", "p")] > scores[("#page", "body", "ul", "li")] == 0
 
 
+def test_names_that_tell_of_the_page_do_not_hide_the_story():
+    story = "".join(f"<p>{x}</p>" for x in STORY)
+    for names in ('class="content no-sidebar"', 'class="post comments-open"', 'id="with-sidebar"', 'class="has-nav"'):
+        assert main_text(f"<body><nav>Menu</nav><div {names}>{story}</div></body>").split("\n") == STORY
+
+
+def test_wrappers_of_the_page_stay_and_listed_parts_go():
+    story = "".join(f"<p>{x}</p>" for x in STORY)
+    form = f"""<body><div class="top">Site</div><form id="aspnetForm"><div class="menu">Menu</div><h1>Head</h1><div>{story}</div>
+    <form><p>Search here, now.</p></form></form></body>"""
+    assert main_text(form).split("\n")[:5] == ["Head", *STORY]
+    assert "Menu" not in main_text(form)
+    area = f'<body><div class="widget-area"><article>{story}</article><div class="comments">{story * 9}</div></div></body>'
+    assert main_text(area).split("\n") == STORY
+    for words in ("comments", "ad", "newsletter"):
+        assert main_text(f'<body><article><p>Short, yes.</p></article><div class="{words}">{story}</div></body>') == "Short, yes."
+    assert main_text(f'<body><h1>Head</h1><p>Short, yes.</p><section id="comments">{story}</section></body>') == "Head\nShort, yes."
+
+
+def test_stray_quotes_in_tags():
+    story = "".join(f"<p>{x}</p>" for x in STORY)
+    assert main_text(f"<body><p title=Bob's>One, two, three.</p>{story}<p>It isn't so, it is.</p></body>").count("\n") == 5
+    page = f"""<body><p class="a"">One, two.</p>{story}</body>"""
+    assert "<" not in main_text(page) and '"' not in main_text(page)
+    assert main_text(f'<article><p title="never closed>One, two.</p>{story}</article>').startswith("One, two.")
+    assert main_text("<article><p data-x='a > b' hidden=\"\">x</p><p>y</p></article>") == "y"
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    for page in (
+        "<div>" * 20_000 + "x, y." + "</div>" * 20_000,
+        "<div>a, b." * 20_000,
+        "<div>" * 20_000 + "</b>" * 20_000 + "x",
+        "<li>" * 20_000,
+        "<p title='x\">" * 20_000,
+        "<a b=c" * 50_000,
+    ):
+        begun = time.monotonic()
+        main_text(page)
+        assert time.monotonic() - begun < 12
+
+
+def _scores_by_hand(blocks):
+    """The rule of the paths, block by block, without arrays."""
+    paths = [b.element.path.labels() for b in blocks]
+    order = list(dict.fromkeys(paths))
+    raw = {}
+    for p in order:
+        texts = [b.text for b, q in zip(blocks, paths, strict=True) if q == p]
+        raw[p] = (sum(map(len, texts)) / len(texts), sum(len(re.findall(r"[.,;:!?…]", t)) for t in texts) / len(texts))
+    out = {}
+    for p in order:
+        row = [q for q in order if q[:-1] == p[:-1]]
+        i = row.index(p)
+        left, right = row[max(0, i - 1)], row[min(len(row) - 1, i + 1)]
+        text, marks = (0.5 * raw[p][k] + 0.25 * raw[left][k] + 0.25 * raw[right][k] for k in (0, 1))
+        mine = [b for b, q in zip(blocks, paths, strict=True) if q == p]
+        links = sum(b.link_chars for b in mine) / sum(len(b.text) for b in mine)
+        out[p] = 0.0 if any(b.element.firm for b in mine) else text * (1 + marks) * (1 - min(1, links))
+    return out
+
+
+def test_path_scores_equal_the_rule_by_hand():
+    story = "".join(f"<p class=k{i % 2}>{x}</p><h{i % 3 + 1}>Head {i}!</h{i % 3 + 1}>" for i, x in enumerate(STORY * 3))
+    page = f"<body><nav><a>Menu, menu</a></nav><div>{story}</div><ul><li><a>one</a> two, three.<li>four</ul><p>End.</p></body>"
+    blocks, _ = blocks_of(page)
+    got, wanted = path_scores([b for b in blocks if not b.element.firm]), _scores_by_hand([b for b in blocks if not b.element.firm])
+    assert got.keys() == wanted.keys()
+    assert all(abs(got[p] - wanted[p]) < 1e-9 for p in got)
+
+
 def test_broken_markup_is_read_as_far_as_it_goes():
     assert main_text("<article><p>cut <b>short") == "cut short"
     assert main_text("plain text only") == "plain text only"
