@@ -201,12 +201,16 @@ page AS (
     translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
       'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+clean AS (
+  SELECT url, host, path, regexp_replace(html, '<!--.*?-->|<script\b.*?</script\b[^>]*>', ' ', 'gis') AS html
+  FROM page WHERE regexp_matches(html, '(?i)canonical|refresh')),
 target AS (
-  SELECT url, host, path, unnest([
-    regexp_extract(regexp_extract(html, '(?is)(<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>)', 1),
-      '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1),
-    regexp_extract(regexp_extract(html, '(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>)', 1),
-      '(?is)\burl\s*=\s*["'']?\s*([^"''\s>;]+)', 1)]) AS t FROM page),
+  SELECT url, host, path, regexp_extract(unnest(regexp_extract_all(html,
+    '(?is)(<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>)', 1)), '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1) AS t FROM clean
+  UNION ALL
+  SELECT url, host, path, regexp_extract(unnest(regexp_extract_all(html,
+    '(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>)', 1)),
+    '(?is)\bcontent\s*=\s*["'']?\s*(?:0+(?:\.0*)?|\.0+)[\s;,]+url\s*=\s*["'']?\s*([^"''\s>;]+)', 1) AS t FROM clean),
 full_target AS (
   SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t
     WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN 'http://' || host || t

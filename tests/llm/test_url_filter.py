@@ -1,5 +1,10 @@
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from stridegrid.llm import url_filter
 from stridegrid.llm.components import components
-from stridegrid.llm.queries import URL_RULES
+from stridegrid.llm.queries import OP5_SQL, URL_RULES, op5_url_filter
 from stridegrid.llm.url_filter import filter_urls
 
 
@@ -50,6 +55,54 @@ def test_rules_and_aliases(spark):
     assert filter_urls(pages.where("false"), URL_RULES).count() == 0
 
 
+@pytest.mark.parametrize("most", [1_000, 0])
+def test_query_and_sql_agree_on_pages_with_aliases(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(url_filter, "MOST_RULES", most)
+    late = "<meta http-equiv=refresh content='300; url=http://x.com/de/5'>"
+    rows = [
+        *ROWS,
+        (20, "http://late.net/1", late),
+        (21, "http://noted.net/1", f"<!-- {page('http://x.com/de/5')} --><script>var a='{page('http://x.com/de/5')}'</script>"),
+        (22, "http://two.net/1", page("http://fresh.net/1") + page("http://x.com/de/5")),
+        (23, "http://now.net/1", '<META content="0.0;URL=http://x.com/de/5" http-equiv="refresh">'),
+    ]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    got = op5_url_filter(spark, str(tmp_path)).collect()
+    at = {r.page_id: r.verdict for r in got}
+    assert [at[i] for i in (20, 21, 22, 23)] == ["allow", "allow", "block", "block"]
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = db.execute(f"SELECT page_id, host, path, rule, verdict FROM ({OP5_SQL})").fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_many_rules_ties_and_none(spark):
+    rules = [("block", f"h{i % 40}.net/{'d' * (i % 7)}{i}") for i in range(1_500)]
+    rules += [("block", "tie.net/a"), ("allow", "tie.net/a"), ("block", "b.tie.net/"), ("allow", "tie.net/abc"), ("block", "net/x")]
+    urls = [f"http://www.h{i % 40}.net/{'d' * (i % 7)}{i}/z" for i in range(0, 1_500, 7)]
+    urls += ["http://tie.net/a", "http://b.tie.net/abc", "http://q.net/x?1", "http://net/x", "http://xnet/x", "http://.net/x", "http://a..net/x", None]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id bigint, url string, html string")
+
+    def fits(rule, host, path):
+        domain, _, start = rule.partition("/")
+        return ("." + host).endswith("." + domain) and path.startswith("/" + start)
+
+    def wanted(host, path):
+        found = [(len(r), v == "allow", r, v) for v, r in rules if fits(r, host, path)]
+        return max(found)[2:] if found else (None, "allow")
+
+    table = spark.createDataFrame([*rules, (None, "q.net/"), ("block", None), *rules[:3]], "verdict string, rule string")
+    for given in (rules, table):
+        got = filter_urls(pages, given).collect()
+        assert len(got) == len(urls)
+        for r in got:
+            assert (r.rule, r.verdict) == wanted(r.host, r.path)
+    tied = filter_urls(pages, [("block", "tie.net/a"), ("allow", "tie.net/a")]).where(F.col("url") == "http://tie.net/a").first()
+    assert tied.verdict == "allow"
+    assert {r.verdict for r in filter_urls(pages, []).collect()} == {"allow"}
+
+
 def test_components_of_paths_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (None, 3), (200, 201), (201, 200), (201, 202)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
