@@ -35,6 +35,36 @@ def test_stages_keep_what_they_should(spark, tmp_path):
     assert sum(r.length for r in docs.collect()) == sum(r.doc_tokens for r in docs.where("start = 0").collect())
 
 
+def test_a_text_decides_for_all_its_rows_and_no_other(spark, tmp_path):
+    sf = str(tmp_path / "sf")
+    words = "river stone cloud window garden paper music engine forest bridge".split()
+    clean = {i: " ".join(f"{words[(i * k + k * k) % 10]}{i}{k}" for k in range(60)) for i in range(60)}
+    foul = {i: " ".join(["grotfiend", "vilescum", *clean[i].split()[:20], "grotfiend"]) for i in range(30)}
+    item = " ".join(f"question{k}" for k in range(20))
+    labels = [(i, 0, 0) for i in clean] + [(100 + i, 0, 1) for i in foul]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{sf}/benchmark.parquet")
+    rows = [(i, t) for i, t in clean.items()] + [(100 + i, t) for i, t in foul.items()]
+    rows += [(None, foul[3]), (5, foul[4]), (None, item), (6, item + " more"), (None, clean[7]), (None, "one of a kind, told by no id at all")]
+    rows += [(8, clean[8]), (8, clean[9]), (None, None), (None, "")]
+    docs = spark.createDataFrame(
+        [(k, t, "en", "s", len(t or ""), "z", 7) for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, _row string, _tid int"
+    )
+    stages = dict(STAGES)
+    got = [(r.doc_id, r.text) for r in stages["toxicity"](spark, docs, sf).collect()]
+    poisoned = {t for _, t in rows} - {t for _, t in got}
+    assert poisoned == set(foul.values())
+    assert sorted(map(str, got)) == sorted(str((k, t)) for k, t in rows if t not in poisoned)
+
+    got = [(r.doc_id, r.text) for r in stages["benchmark_passages"](spark, docs, sf).collect()]
+    assert sorted(map(str, got)) == sorted(str((k, t)) for k, t in rows if t is None or "question" not in t)
+
+    got = [(r.doc_id, r.text) for r in stages["near_duplicates"](spark, docs.where("text NOT LIKE '%grot%' OR text IS NULL"), sf).collect()]
+    # the text of 9 stands under the lesser id 8 too
+    want = [(8 if i == 9 else i, t) for i, t in clean.items()] + [(6, item + " more"), (None, rows[-5][1]), (None, None), (None, "")]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_edges(spark, tmp_path):
     sf = str(tmp_path / "sf")
     edge_labels(spark).write.parquet(f"{sf}/labels.parquet")
